@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegate.llm import cutoffs as c2, grouping as g4, overlap as o3, packing as k6, quotas as q5
+from tidegate.llm import cutoffs as c2, grouping as g4, leakage as l7, lookalike as a8, overlap as o3, packing as k6, quotas as q5
 from tidegate.schema import FEATURES
 from tidegate.sources.tables import bounded, read_table
 
@@ -123,3 +123,32 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill.groupBy("bin_kind").agg(
         F.count(F.lit(1)).alias("n_bins"), F.sum("used").alias("tokens"), (F.sum("used") / F.sum("capacity")).alias("fill")
     )
+
+
+# 7: leaks -------------------------------------------------------------------------------------------------------
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return l7.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("item_id", "doc_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items: documents that hold them and the longest piece found."""
+    return p7_leaks(spark, d).groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("n_words"), F.max("coverage").alias("coverage")
+    )
+
+
+# 8: look-alikes -------------------------------------------------------------------------------------------------
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return a8.look_alike_pairs(read_table(spark, d, "documents"))
+
+
+def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return a8.canonical_texts(read_table(spark, d, "documents"))
