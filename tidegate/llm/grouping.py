@@ -110,7 +110,7 @@ def assign_splits(
     of the deal are differenced in one task per stratum: fewer than ``bins`` per weight and shard, at most 1,024 shards.
     """
     base = df.where(F.col(id_col).isNotNull())
-    combo = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("\0")) for c in spread.values()))
+    combo = F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in spread.values()))
     records = base.select(F.col(id_col).alias("record_id"), combo.alias("combo")).groupBy("record_id").agg(F.min("combo").alias("combo"))
     roots = tied_records(base, id_col, keys).select(F.col("id").alias("record_id"), F.col("root").alias("root_id"))
     records = records.join(roots, "record_id", "left").withColumn("root_id", F.coalesce("root_id", "record_id"))

@@ -150,9 +150,51 @@ def leaked(a: list[str], b: list[str], least: int = 20, one_in: int = 10) -> tup
     return best, sum(k for _, _, k in cover) / max(1, len(a))
 
 
+def aligned(a: list[str], b: list[str], least: int = 20, one_in: int = 10) -> int:
+    """Exact form of the decision: words of the longest piece of ``a`` that some stretch of ``b`` holds within the
+    edits, by edit distance to any stretch; for pairs whose tiles took a passage's words at several places."""
+    least = min(least, len(a))
+    number = {w: i for i, w in enumerate(dict.fromkeys(a))}
+    x = [number[w] for w in a]
+    y = np.array([number.get(w, -1) for w in b])
+    ramp, best = np.arange(len(y) + 1), 0
+    for p in range(len(x) - least + 1):
+        row = np.zeros(len(y) + 1, dtype=np.int64)
+        for i, w in enumerate(x[p:], 1):
+            new = np.empty_like(row)
+            new[0] = i
+            new[1:] = np.minimum(row[:-1] + (y != w), row[1:] + 1)
+            row = np.minimum.accumulate(new - ramp) + ramp
+            edits = int(row.min())
+            if i >= least and edits * one_in <= i:
+                best = max(best, i)
+            if edits > len(a) // one_in:
+                break
+    return best
+
+
+def regions(a: list[str], b: list[str]) -> list[list[str]]:
+    """Stretches of b around the seeds it shares with a, wide enough for any piece of a."""
+    own = {tuple(a[i : i + SEED]) for i in range(len(a) - SEED + 1)}
+    margin, out = len(a) + len(a) // 10, []
+    for j in (j for j in range(len(b) - SEED + 1) if tuple(b[j : j + SEED]) in own):
+        low, high = max(0, j - margin), j + SEED + margin
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return [b[low:high] for low, high in out]
+
+
+def decide(a: list[str], b: list[str]) -> tuple[int, float]:
+    """Tiles first; where no chain of them decides for a leak, the exact alignment of the stretches that share seeds."""
+    n, cover = leaked(a, b)
+    return (n or max((aligned(a, part) for part in regions(a, b)), default=0)), cover
+
+
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        got = [leaked(p.split(" "), t.split(" ")) for p, t in zip(pdf["passage"], pdf["text"])]
+        got = [decide(p.split(" "), t.split(" ")) for p, t in zip(pdf["passage"], pdf["text"])]
         out = pdf[["item_id", "doc_id"]].assign(n_words=[int(n) for n, _ in got], coverage=[float(c) for _, c in got])
         yield out[out["n_words"] > 0]
 

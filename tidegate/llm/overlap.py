@@ -30,7 +30,7 @@ SHIFT = 0.37  # keeps 1 and other common constants away from a cell's edge
 
 @dataclass
 class Overlap:
-    """``rows``: (id, side, vector hash, carried columns) of records with a partner; ``vectors``: matching pairs of
+    """``rows``: (id, side, h0, h1 = hash of the vector, c_* = carried columns) of records that may have a partner; ``vectors``: matching pairs of
     vector hashes (train t0, t1; evaluation e0, e1) with ``exact``."""
 
     rows: DataFrame
@@ -40,7 +40,7 @@ class Overlap:
         """All pairs of rows: ``train_id``, ``eval_id``, ``exact`` and the carried columns as train_*/eval_*."""
 
         def side(name: str, a: str, b: str) -> DataFrame:
-            kept = [F.col(c).alias(f"{name}_{c}") for c in ("id", *columns)]
+            kept = [F.col("id").alias(f"{name}_id"), *(F.col(f"c_{c}").alias(f"{name}_{c}") for c in columns)]
             return self.rows.where(F.col("side") == name).select(F.col("h0").alias(a), F.col("h1").alias(b), *kept)
 
         return self.vectors.join(side("train", "t0", "t1"), ["t0", "t1"]).join(side("eval", "e0", "e1"), ["e0", "e1"]).drop("t0", "t1", "e0", "e1")
@@ -75,10 +75,12 @@ def cross_split_overlap(
 ) -> Overlap:
     """Pairs of a training and an evaluation row whose features differ by at most ``tolerance`` of the larger magnitude."""
     slack = -math.log1p(-tolerance) * 1.01  # beyond rounding of the logarithm
-    plain = [(F.col(f) + F.lit(0.0)).alias(f) for f in features]  # -0 becomes 0
+    plain = [(F.col(f) + F.lit(0.0)).alias(f"f{i}") for i, f in enumerate(features)]  # -0 becomes 0
+    kept = [F.col(c).alias(f"c_{c}") for c in carry]
     side = F.when(F.col(split_col).isin(list(train)), "train").when(F.col(split_col).isin(list(evaluation)), "eval")
     ok = reduce(lambda a, f: a & _finite(F.col(f)), features, side.isNotNull() & F.col(id_col).isNotNull())
-    base = df.where(ok).select(F.col(id_col).alias("id"), side.alias("side"), *carry, *plain)
+    base = df.where(ok).select(F.col(id_col).alias("id"), side.alias("side"), *kept, *plain)
+    features = [f"f{i}" for i in range(len(features))]
     base = base.withColumn("h0", F.xxhash64(*features)).withColumn("h1", F.xxhash64(F.lit(7), *features))
 
     def hashed(which: str, keys: Column) -> DataFrame:
@@ -105,7 +107,7 @@ def cross_split_overlap(
     compared = candidates.join(vectors("train", "t"), ["t0", "t1"]).join(vectors("eval", "e"), ["e0", "e1"])
     exact = reduce(lambda a, f: a & (F.col(f"t_{f}") == F.col(f"e_{f}")), features, F.lit(True))
     matches = compared.where(reduce(lambda a, f: a & close(f), features, F.lit(True))).select("t0", "t1", "e0", "e1", exact.alias("exact"))
-    return Overlap(rows.select("id", "side", "h0", "h1", *carry), materialize(matches, "matches"))
+    return Overlap(rows.drop(*features), materialize(matches, "matches"))
 
 
 def overlap_report(overlap: Overlap, split_col: str, source_col: str) -> DataFrame:
@@ -114,6 +116,6 @@ def overlap_report(overlap: Overlap, split_col: str, source_col: str) -> DataFra
     Counted on the evaluation side of the vector pairs; pairs of rows are not made."""
     best = overlap.vectors.groupBy(F.col("e0").alias("h0"), F.col("e1").alias("h1")).agg(F.max("exact").alias("exact"))
     rows = overlap.rows.where("side = 'eval'").join(best, ["h0", "h1"])
-    return rows.groupBy(split_col, source_col).agg(
+    return rows.groupBy(F.col(f"c_{split_col}").alias(split_col), F.col(f"c_{source_col}").alias(source_col)).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_almost")
     )

@@ -174,11 +174,11 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["grp_slug", "line"], kind="stable")
     pdf["have"] = [dict(zip(s, n)) for s, n in zip(pdf["have_s"], pdf["have_n"])]
     lines, strata = [], sorted({s for m in pdf["have"] for s in m})
-    left: dict[str, dict[str, int]] = {}
+    left: dict[tuple[str, str], dict[str, int]] = {}
     for r in pdf.itertuples():
         target = r.sample_size * r.target_ppm / 1_000_000
         floor = r.sample_size * r.target_ppm // 1_000_000
-        have = left.setdefault(r.grp_slug, {s: int(n) for s, n in r.have.items()})
+        have = left.setdefault((r.population, r.grp_slug), {s: int(n) for s, n in r.have.items()})
         lines.append({"target": target, "need_low": max(r.min_rows, floor), "need_high": r.needed, "have": dict(have)})
         gone = min(r.needed, sum(have.values()))
         for s in sorted(have):  # a second line for the same group draws on what the first leaves
