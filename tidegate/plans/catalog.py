@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.plans import records
+from tidegate.plans import preparation, records, scores, validation
 
-_MODULES = [records]
+_MODULES = [records, preparation, validation, scores]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 
