@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegate.functions.numeric import safe_divide
+from tidegate.operators.order import running_sums
+from tidegate.sources.tables import bounded
 
 
 def binary_metrics(df: DataFrame, y: Column, pred: Column, by: Sequence[str] = (), prob: Column | None = None) -> DataFrame:
@@ -46,14 +48,15 @@ def success_rate(df: DataFrame, pred: Column, by: Sequence[str] = ()) -> DataFra
 def operating_points(benign: DataFrame, score: str, fpr: float, by: Sequence[str] = ()) -> DataFrame:
     """Per group the (k+1)-th greatest benign score s_k, k = floor(fpr x n): flag rows with p > s_k to stay in budget.
 
-    Found on compact (score, count) frequencies. ``flag_above`` is null where k >= n: then every row may be flagged.
-    The frequencies' running count is bounded by the distinct scores of a group."""
+    Found on compact (score, count) frequencies, summed up in blocks. ``flag_above`` is null where k >= n: then every
+    row may be flagged."""
     freq = benign.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    freq = freq.withColumn("n_benign", F.sum("_n").over(own))
-    freq = freq.withColumn("_upto", F.sum("_n").over(own.orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = running_sums(freq, by, "_s", {"_upto": "_n"}, descending=True)
+    sizes = freq.groupBy(*(F.col(c).alias(f"_z{i}") for i, c in enumerate(by))).agg(F.sum("_n").alias("n_benign"))
+    same = [F.col(c).eqNullSafe(F.col(f"_z{i}")) for i, c in enumerate(by)] or [F.lit(True)]
     k = F.floor(F.col("n_benign") * F.lit(fpr))
-    return freq.groupBy(*by).agg(F.max("n_benign").alias("n_benign"), F.max(F.when(F.col("_upto") > k, F.col("_s"))).alias("flag_above"))
+    joined = sums.join(bounded(sizes, 100_000), same)
+    return joined.groupBy(*by).agg(F.max("n_benign").alias("n_benign"), F.max(F.when(F.col("_upto") > k, F.col("_s"))).alias("flag_above"))
 
 
 def threshold_for_fpr(scores: Sequence[float], fpr: float) -> float:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidegate.functions.numeric import finite, signed_log1p
+from tidegate.operators.order import exact_quantiles
 from tidegate.operators.scan import float32, is_bad
 
 
@@ -48,18 +49,17 @@ def near_constant_columns(df: DataFrame, columns: Sequence[str], tol: float = 0.
 
 
 def tail_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column min, median, 99th percentile (exact, interpolated), max, span, positions, shares of 0 and integers.
-
-    Exact percentiles aggregate (value, count) pairs, so their memory grows with the distinct values of a column."""
-    per = long_form(df, columns).where(finite(F.col("x"))).groupBy("column_name").agg(
-        F.min("x").alias("min"), F.percentile("x", F.array(F.lit(0.5), F.lit(0.99))).alias("p"), F.max("x").alias("max"),
-        F.avg((F.col("x") == 0).cast("double")).alias("frac_zero"), F.avg((F.col("x") == F.rint("x")).cast("double")).alias("frac_integer"),
-        F.count_if(F.col("x") < 0).alias("n_negative"),
+    """Per column min, median, 99th percentile (exact, interpolated), max, span, positions, shares of 0 and integers."""
+    long = long_form(df, columns).where(finite(F.col("x")))
+    per = long.groupBy("column_name").agg(
+        F.min("x").alias("min"), F.max("x").alias("max"), F.avg((F.col("x") == 0).cast("double")).alias("frac_zero"),
+        F.avg((F.col("x") == F.rint("x")).cast("double")).alias("frac_integer"), F.count_if(F.col("x") < 0).alias("n_negative"),
     )
+    per = per.join(exact_quantiles(long, ["column_name"], "x", [0.5, 0.99], few_groups=True), "column_name")
     span = F.col("max") - F.col("min")
-    where = lambda i: F.coalesce(F.try_divide(F.col("p")[i] - F.col("min"), span), F.lit(0.0))
+    where = lambda i: F.coalesce(F.try_divide(F.col("q")[i] - F.col("min"), span), F.lit(0.0))
     return per.select(
-        "column_name", "min", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p99"), "max", span.alias("span"),
+        "column_name", "min", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p99"), "max", span.alias("span"),
         where(0).alias("p50_position"), where(1).alias("p99_position"), "frac_zero", "frac_integer", "n_negative",
     )
 

@@ -6,18 +6,23 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidegate.operators.order import running_sums
 from tidegate.operators.scan import float32
 
 
+def _bit(label: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), label.cast("int"))
+
+
 def overlap_by_label(train: DataFrame, test: DataFrame, features: Sequence[str], y_col: str, by: str) -> DataFrame:
     """Per group of test rows: rows, those whose float32 vector stands in train, with the same label, only with others.
 
     Train is reduced to one row per vector with the set of its labels as bits (labels 0..62) before the join."""
     keys = [f"_k{i}" for i in range(len(features))]
     named = lambda df: df.withColumns(dict(zip(keys, float32(features))))
-    masks = named(train).groupBy(*keys).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col(y_col).cast("int"))).alias("_mask"))
+    masks = named(train).groupBy(*keys).agg(F.bit_or(_bit(F.col(y_col))).alias("_mask"))
     joined = named(test).select(*keys, by, F.col(y_col).cast("int").alias("_y")).join(masks, keys, "left")
-    same = F.col("_mask").bitwiseAND(F.shiftleft(F.lit(1).cast("long"), F.col("_y"))) != 0
+    same = F.col("_mask").bitwiseAND(_bit(F.col("_y"))) != 0
     return joined.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("_mask").isNotNull()).alias("n_in_train"),
         F.count_if(same).alias("n_same_label"), F.count_if(F.col("_mask").isNotNull() & ~same).alias("n_other_label_only"),
@@ -46,12 +51,12 @@ def correlated_groups(pairs: DataFrame, columns: Sequence[str], above: float = 0
 def best_stumps(df: DataFrame, columns: Sequence[str], y: Column) -> DataFrame:
     """Per column the best balanced accuracy of a rule x <= t or x > t, its distinct values, and a leak suspicion.
 
-    Runs on (column, value) counts. One column's distinct values are summed up in one window."""
+    Runs on (column, value) counts, summed up in blocks of each column's range."""
     cells = F.array(*(F.struct(F.lit(c).alias("column_name"), (F.col(c).cast("double") + 0.0).alias("x")) for c in columns))
     counts = df.select(F.inline(cells), y.cast("int").alias("y")).groupBy("column_name", "x").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    own, upto = Window.partitionBy("column_name"), Window.partitionBy("column_name").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.select("column_name", "x", F.sum("pos").over(upto).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(upto).alias("fp"),
-                        F.sum("pos").over(own).alias("p"), F.sum(F.col("n") - F.col("pos")).over(own).alias("m"))
+    counts = counts.withColumn("neg", F.col("n") - F.col("pos"))
+    whole = df.agg(F.sum(y.cast("int")).alias("p"), F.count_if(y == 0).alias("m"))
+    run = running_sums(counts, ["column_name"], "x", {"tp": "pos", "fp": "neg"}).join(F.broadcast(whole))
     low = (F.coalesce(F.try_divide("tp", "p"), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("m") - F.col("fp"), "m"), F.lit(0.0))) / 2.0
     best = run.groupBy("column_name").agg(F.max(F.greatest(low, 1.0 - low)).alias("balanced_accuracy"), F.count(F.lit(1)).alias("n_distinct"))
     return best.withColumn("suspect", F.col("balanced_accuracy") >= 0.99)

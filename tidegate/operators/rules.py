@@ -17,7 +17,9 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegate.functions.numeric import any_of, total
+from tidegate.operators.order import exact_quantiles
 from tidegate.operators.scaling import Scaling
+from tidegate.scratch import materialize
 
 # What the reference's mining uses.
 RANGE_TOLERANCE = 0.01
@@ -86,12 +88,11 @@ def residual(rule: Rule) -> Column:
 def dependency_calibration(rows: DataFrame, rules: Sequence[Rule], percentile: float = 0.999) -> DataFrame:
     """Per rule the residual's percentiles, tolerance max(10 x p99.9, 1e-6) and whether it is pruned (> 0.05)."""
     cells = F.array(*(F.struct(F.lit(r.name).alias("rule"), residual(r).alias("r")) for r in rules))
-    per = rows.select(F.inline(cells)).groupBy("rule").agg(
-        F.percentile("r", F.array(F.lit(0.5), F.lit(0.99), F.lit(percentile))).alias("p"), F.max("r").alias("max"),
-        F.avg((F.col("r") > 0).cast("double")).alias("share_positive"),
-    )
-    tol = F.greatest(HEADROOM * F.col("p")[2], F.lit(TOL_FLOOR))
-    return per.select("rule", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p99"), F.col("p")[2].alias("p999"), "max", "share_positive",
+    long = rows.select(F.inline(cells))
+    per = long.groupBy("rule").agg(F.max("r").alias("max"), F.avg((F.col("r") > 0).cast("double")).alias("share_positive"))
+    per = per.join(exact_quantiles(long, ["rule"], "r", [0.5, 0.99, percentile], few_groups=True), "rule")
+    tol = F.greatest(HEADROOM * F.col("q")[2], F.lit(TOL_FLOOR))
+    return per.select("rule", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p99"), F.col("q")[2].alias("p999"), "max", "share_positive",
                       tol.alias("tolerance"), (tol > MAX_TOL).alias("pruned"))
 
 
@@ -100,47 +101,35 @@ def dependency_calibration(rows: DataFrame, rules: Sequence[Rule], percentile: f
 
 def protocol_group(indicators: Sequence[str]) -> Column:
     """Name of the first indicator with the greatest value if that is at least 0.5, else 'other'."""
-    values = F.array(*(F.col(c) for c in indicators))
-    top = F.array_max(values)
-    names = F.array(*(F.lit(c) for c in indicators))
-    return F.when(gt(top, 0.4999999999999999), F.element_at(names, F.array_position(values, top).cast("int"))).otherwise(F.lit(OTHER))
-
-
-def _medians(rows: DataFrame, columns: Sequence[str], by: str | None) -> DataFrame:
-    aggs = [F.median(c).alias(f"med_{c}") for c in columns] + [(F.max(c) - F.min(c)).alias(f"span_{c}") for c in columns]
-    return (rows.groupBy(by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+    top = F.greatest(*(F.col(c) for c in indicators)) if len(indicators) > 1 else F.col(indicators[0])
+    out = F.lit(OTHER)
+    for c in reversed(indicators):
+        out = F.when(F.col(c) == top, c).otherwise(out)
+    return F.when(gt(top, 0.5) | F.coalesce(top == 0.5, F.lit(False)), out).otherwise(F.lit(OTHER))
 
 
 def group_profiles(rows: DataFrame, columns: Sequence[str], group_col: str = "grp") -> dict[str | None, dict]:
     """Median and MAD of every column per group and, under None, over all rows.
 
-    Two dependent aggregations; the medians (groups x columns numbers) go into the second as literals."""
-
-    def spread(part: DataFrame, by: str | None) -> dict[str | None, dict]:
-        first = {(r[by] if by else None): r for r in _medians(part, columns, by).collect()}
-        if not first or (None in first and not first[None].n_rows):
-            return {}
-
-        def centre(c: str) -> Column:
-            if not by:
-                return F.lit(first[None][f"med_{c}"])
-            pairs = [x for g, r in first.items() for x in (F.lit(g), F.lit(r[f"med_{c}"]))]
-            return F.element_at(F.create_map(*pairs), F.col(by))
-
-        aggs = [F.median(F.abs(F.col(c) - centre(c))).alias(c) for c in columns]
-        second = (part.groupBy(by) if by else part.groupBy()).agg(*aggs).collect()
-        out = {}
-        for r in second:
-            g = r[by] if by else None
-            spans = {c: max(first[g][f"span_{c}"], SPAN_FLOOR) for c in columns}
-            out[g] = {
-                "n_rows": first[g].n_rows,
-                "median": {c: first[g][f"med_{c}"] for c in columns},
-                "mad": {c: max(MAD_SCALE * r[c], MAD_FLOOR * spans[c]) for c in columns},
-            }
-        return out
-
-    return spread(rows, None) | spread(rows, group_col)
+    Two dependent passes over (group, column, value) cells: exact medians, then those of the distances to them. Only
+    groups x columns numbers reach the driver."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns))
+    twice = F.explode(F.array(F.col(group_col), F.lit(None).cast("string"))).alias("_of")
+    long = rows.select(twice, cells.alias("_cells")).select("_of", F.inline("_cells"))
+    spans = long.groupBy("_of", "column_name").agg((F.max("x") - F.min("x")).alias("span"), F.count("x").alias("n_rows"))
+    by = ["_of", "column_name"]
+    meds = {(r._of, r.column_name): r.q[0] for r in exact_quantiles(long, by, "x", [0.5], few_groups=True).collect()}
+    middle = rows.sparkSession.createDataFrame([(g, c, m) for (g, c), m in meds.items()], "_g string, _c string, med double")
+    centre = F.broadcast(middle)  # groups x columns rows
+    away = long.join(centre, long["_of"].eqNullSafe(centre["_g"]) & (long["column_name"] == centre["_c"])).withColumn("x", F.abs(F.col("x") - F.col("med")))
+    mads = {(r._of, r.column_name): r.q[0] for r in exact_quantiles(away, by, "x", [0.5], few_groups=True).collect()}
+    out: dict[str | None, dict] = {}
+    for r in spans.collect():
+        g = out.setdefault(r._of, {"n_rows": r.n_rows, "median": {}, "mad": {}})
+        key = (r._of, r.column_name)
+        g["median"][r.column_name] = meds[key]
+        g["mad"][r.column_name] = max(MAD_SCALE * mads[key], MAD_FLOOR * max(r.span, SPAN_FLOOR))
+    return out
 
 
 # -- the mined rule set -----------------------------------------------------------------------------------------
@@ -287,20 +276,26 @@ def calibrate_distribution(rules: RuleSet, val: DataFrame, budget: float = 0.01,
 
     Groups with fewer than 200 validation rows pool train and validation if that makes 100, else take the global one."""
     v = Validator(rules)
-    scored = lambda df, src: df.select(v.group().alias("grp"), v.score().alias("s"), F.lit(src).alias("src"))
+
+    def scored(df: DataFrame, src: str) -> DataFrame:
+        return df.withColumn("grp", v.group()).select("grp", v.score(F.col("grp")).alias("s"), F.lit(src).alias("src"))
+
     both = scored(val, "val") if train is None else scored(val, "val").unionByName(scored(train, "train"))
-    own = F.when(F.col("src") == "val", F.col("s"))
-    q = F.lit(1.0 - budget)
-    per = {r.grp: r for r in both.groupBy("grp").agg(F.count(own).alias("n_val"), F.count("s").alias("n_all"), F.percentile(own, q).alias("val"), F.percentile("s", q).alias("pooled")).collect()}
-    overall = both.agg(F.percentile(own, q)).first()[0]
+    both = materialize(both, "scores")  # three numbers a row, read for every quantile below
+    name = lambda *parts: F.concat_ws("|", *parts)
+    val_only = F.when(F.col("src") == "val", F.array(name(F.col("grp"), F.lit("val")), F.lit("|val"))).otherwise(F.array().cast("array<string>"))
+    keyed = both.select("s", F.explode(F.concat(F.array(name(F.col("grp"), F.lit("all"))), val_only)).alias("key"))
+    found = {r.key: (r.n_values, r.q[0]) for r in exact_quantiles(keyed, ["key"], "s", [1.0 - budget], few_groups=True).collect()}
+    if "|val" not in found:
+        raise ValueError("no trusted validation row to calibrate on")
     for g in rules.groups:
-        r = per.get(g)
-        if r and r.n_val >= MIN_GROUP_VAL_ROWS:
-            rules.thresholds[g], rules.threshold_source[g] = r.val, "val"
-        elif r and train is not None and r.n_all >= MIN_GROUP_ROWS:
-            rules.thresholds[g], rules.threshold_source[g] = r.pooled, "train+val"
+        (n_val, own), (n_all, pooled) = found.get(f"{g}|val", (0, None)), found.get(f"{g}|all", (0, None))
+        if n_val >= MIN_GROUP_VAL_ROWS:
+            rules.thresholds[g], rules.threshold_source[g] = own, "val"
+        elif train is not None and n_all >= MIN_GROUP_ROWS:
+            rules.thresholds[g], rules.threshold_source[g] = pooled, "train+val"
         else:
-            rules.thresholds[g], rules.threshold_source[g] = overall, "global"
+            rules.thresholds[g], rules.threshold_source[g] = found["|val"][1], "global"
     return rules
 
 
