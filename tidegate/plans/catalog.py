@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.plans import pools, preparation, records, scores, validation
+from tidegate.plans import pools, preparation, records, reports, robustness, scores, validation
 
-_MODULES = [records, preparation, validation, scores, pools]
+_MODULES = [records, preparation, validation, scores, pools, robustness, reports]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 
