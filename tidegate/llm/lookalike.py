@@ -25,6 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegate.scratch import materialize
+from tidegate.sources.tables import bounded
+
+MAX_BROADCAST = 200_000  # skeletons and first documents that are sent to every executor
 
 # Letters of other scripts that look like a Latin letter, and that letter.
 CYRILLIC = ("АВЕКМНОРСТУХІЈЅҮԌԚԜӀаеорсухіјѕһԁԛԝҽӏү", "ABEKMHOPCTYXIJSYGQWIaeopcyxijshdqwely")
@@ -135,8 +138,9 @@ def look_alikes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     hashes = materialize(hashes, "hashes")
     many = hashes.groupBy("s0", "s1").agg(F.min("t0").alias("a"), F.max("t0").alias("b"), F.min("t1").alias("c"), F.max("t1").alias("d"))
-    many = many.where("a <> b or c <> d").select("s0", "s1")
+    many = bounded(materialize(many.where("a <> b or c <> d").select("s0", "s1"), "skeletons"), MAX_BROADCAST)
     first = hashes.join(many, ["s0", "s1"]).groupBy("s0", "s1", "t0", "t1").agg(F.min("id").alias("id"))
+    first = bounded(materialize(first, "firsts"), MAX_BROADCAST)
     texts = df.select(F.col(id_col).alias("id"), text.alias("_text")).join(first, "id")
     forms = materialize(texts.withColumn("form", _normal(mapped(F.col("_text")))).drop("_text"), "forms")
 
@@ -161,14 +165,18 @@ def _collated(forms: DataFrame) -> DataFrame:
 
 
 def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_a, doc_b): documents whose stored texts differ and look the same."""
+    """(doc_a, doc_b): documents whose stored texts differ and look the same.
+
+    Distinct texts of a class are paired first and their documents joined to the pairs, so copies of one text are
+    never compared with each other, however many there are."""
     classes, hashes = look_alikes(df, id_col, text_col)
-    several = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    members = hashes.join(classes.join(several, "class_id").drop("canonical"), ["s0", "s1", "t0", "t1"])
-    members = materialize(members.select("id", "class_id", "t0", "t1"), "members")
-    other = members.withColumnsRenamed({"id": "doc_b", "t0": "u0", "t1": "u1"})
-    pairs = members.withColumnRenamed("id", "doc_a").join(other, "class_id")
-    return pairs.where("doc_a < doc_b and (t0 <> u0 or t1 <> u1)").select("doc_a", "doc_b")
+    texts = classes.select("class_id", "s0", "s1", "t0", "t1")
+    other = texts.withColumnsRenamed({"s0": "r0", "s1": "r1", "t0": "u0", "t1": "u1"})
+    differ = texts.join(other, "class_id").where("t0 <> u0 or t1 <> u1").drop("class_id")
+    left = hashes.withColumnRenamed("id", "doc_a")
+    right = hashes.withColumnsRenamed({"id": "doc_b", "s0": "r0", "s1": "r1", "t0": "u0", "t1": "u1"})
+    pairs = differ.join(left, ["s0", "s1", "t0", "t1"]).join(right, ["r0", "r1", "u0", "u1"])
+    return pairs.where("doc_a < doc_b").select("doc_a", "doc_b")
 
 
 def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

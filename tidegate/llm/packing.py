@@ -10,7 +10,8 @@ sharding is bounded by the last round. A document longer than the capacity is cu
 which is packed like a document; others are never cut.
 
 Defined cases: a null or empty text has no tokens and is in no container; an id that repeats is packed as often as
-it occurs; an empty table gives an empty assignment; a bin kind with a null or non-positive capacity is skipped.
+it occurs; an empty table gives an empty assignment; a bin kind with a null or non-positive capacity is skipped,
+more than 100 kinds raise.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegate.scratch import materialize
 
+MAX_KINDS = 100
 PLACED = "bin_kind string, capacity long, doc_id long, piece long, pieces long, size long, bin_id string"
 
 
@@ -61,9 +63,14 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pieces(documents: DataFrame, bins: DataFrame, tokens: Column) -> DataFrame:
     """(bin_kind, capacity, doc_id, piece, pieces, size): documents cut only where they exceed the capacity."""
     kinds = bins.where("bin_kind is not null and capacity > 0").select("bin_kind", F.col("capacity").cast("long").alias("capacity"))
+    wanted = kinds.limit(MAX_KINDS + 1).collect()
+    if len(wanted) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} bin kinds")
     sized = documents.select("doc_id", tokens.alias("tokens")).where("tokens > 0")
-    # A handful of container kinds, each of which wants every document: stated work, not a join of two large sides.
-    every = sized.crossJoin(F.broadcast(kinds)).withColumn("pieces", F.ceil(F.col("tokens") / F.col("capacity")))
+    each = F.array(*(F.struct(F.lit(k.bin_kind).alias("bin_kind"), F.lit(k.capacity).cast("long").alias("capacity")) for k in wanted))
+    none = F.array().cast("array<struct<bin_kind:string,capacity:bigint>>")
+    every = sized.select("doc_id", "tokens", F.inline(each if wanted else none))
+    every = every.withColumn("pieces", F.ceil(F.col("tokens") / F.col("capacity")))
     cut = every.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     size = F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity"))
     return cut.select("bin_kind", "capacity", "doc_id", "piece", "pieces", size.alias("size"))
