@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidegate.functions.numeric import all_finite
+from tidegate.functions.numeric import all_finite, any_of
 from tidegate.operators.scan import check_drop_columns
 
 
@@ -88,7 +88,7 @@ def cached(spark: SparkSession, path: str, key: str, build: Callable[[], DataFra
 
 def write_splits(df: DataFrame, path: str, features: Sequence[str], split_col: str = "split_name") -> None:
     """Scaled rows, one folder per split; rows outside [0, 1] or not finite raise before anything is written."""
-    off = df.where(~all_finite(features) | (F.greatest(*(F.col(c) for c in features)) > 1.0) | (F.least(*(F.col(c) for c in features)) < 0.0)).limit(1).count()
+    off = df.where(~all_finite(features) | any_of([(F.col(c) < 0.0) | (F.col(c) > 1.0) for c in features])).limit(1).count()
     if off:
         raise ValueError("scaled rows must be finite and within [0, 1]")
     df.write.mode("overwrite").partitionBy(split_col).parquet(path)
