@@ -72,3 +72,40 @@ def markdown(df: DataFrame, title: str, meta: dict | None = None, max_rows: int
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]
     return "\n".join([*lines, "", *([f"`{json.dumps(meta, sort_keys=True)}`", ""] if meta else [])])
+
+
+def format_metrics(name: Column) -> Column:
+    """One fixed-width line per row of ``binary_metrics``."""
+    return F.format_string("%-16s acc %.4f  bal %.4f  f1 %.4f  fpr %.4f  fnr %.4f", name, *(F.col(c) for c in ("accuracy", "balanced_accuracy", "f1", "fpr", "fnr")))
+
+
+def environment(spark) -> dict:
+    """What a report says about where it was made."""
+    context = spark.sparkContext
+    return {"spark": context.version, "master": context.master, "parallelism": context.defaultParallelism}
+
+
+def merge_results(earlier: DataFrame, now: DataFrame, key: str = "model") -> DataFrame:
+    """Earlier rows that ``now`` does not replace, and all of ``now``; differing columns raise."""
+    if earlier.dtypes != now.dtypes:
+        raise ValueError("earlier results have other columns")
+    return earlier.join(now.select(key).distinct(), key, "left_anti").select(*now.columns).unionByName(now)
+
+
+def integrality_overlap(importances: DataFrame, integer_columns: Sequence[str], k: int) -> DataFrame:
+    """Of the k most important columns how many hold integers, and their share of the top's importance."""
+    top = importances.orderBy(F.col("importance").desc(), "column_name").limit(k)
+    whole = F.col("column_name").isin(list(integer_columns)) if integer_columns else F.lit(False)
+    return top.agg(F.count(F.lit(1)).alias("n_top"), F.count_if(whole).alias("n_integer"), F.coalesce(F.try_divide(F.sum(F.when(whole, F.col("importance")).otherwise(0.0)), F.sum("importance")), F.lit(0.0)).alias("mass"))
+
+
+def evaluate_cell(pairs: DataFrame, detects: dict[str, tuple[Column, Column]], rejects: tuple[Column, Column], target: str, x: tuple[Column, Column]) -> DataFrame:
+    """The deployed verdict of paired rows: per model and for the validator before and after, evasions, norms.
+
+    ``detects`` maps a model to its answer on the clean and on the perturbed row, ``x`` holds both vectors."""
+    from tidegate.functions.numeric import any_of, norms
+
+    out = {f"detected_{m}_{w}": c for m, both in detects.items() for w, c in zip(("clean", "adv"), both)}
+    out |= {"rejected_clean": rejects[0], "rejected_adv": rejects[1]}
+    out |= {"evades_target": ~detects[target][1], "evades_ensemble": ~any_of([b for _, b in detects.values()])}
+    return pairs.withColumns(out | norms(*x))

@@ -12,4 +12,5 @@ SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p1_found"](spark, folder)
+    """Scan, label, scale, mine rules on benign training rows, calibrate on validation, judge test rows per group."""
+    return QUERIES["validator_by_group"](spark, folder)

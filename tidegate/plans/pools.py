@@ -128,15 +128,17 @@ _HELD = """held AS (SELECT r.*, t.rk <= ceil(t.n * 0.3::DOUBLE) AS in_test FROM
     FROM (SELECT DISTINCT coalesce('=' || group_key, '-') AS g FROM rec)) t ON t.g = coalesce('=' || r.group_key, '-'))"""
 _PAIRS = [(a, b) for i, a in enumerate(WIDE) for b in WIDE[i + 1 :]]
 
+STUMP_SQL = f"""WITH {FLOWS_SQL}, c AS (SELECT column_name, x, sum(y) AS pos, count(*) AS n FROM ({unpivot_sql('flows', 'y', "split_name = 'train'")}) GROUP BY column_name, x),
+        r AS (SELECT column_name, x, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER o AS p, sum(n - pos) OVER o AS m FROM c
+          WINDOW w AS (PARTITION BY column_name ORDER BY x ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY column_name)),
+        b AS (SELECT *, (tp::DOUBLE / p + (m - fp)::DOUBLE / m) / 2 AS low FROM r)"""
+
 SQL = {
     "train_test_overlap": f"""WITH {FLOWS_SQL}, b AS (SELECT {_KEYS}, bit_or(1::BIGINT << y) AS mask FROM (SELECT y, {_F32} FROM flows WHERE split_name = 'train') GROUP BY {_KEYS}),
         a AS (SELECT class_name, y, {_F32} FROM flows WHERE split_name = 'test'), j AS (SELECT a.class_name, a.y, b.mask FROM a LEFT JOIN b ON {_ON})
         SELECT class_name, count(*) AS n_rows, count(mask) AS n_in_train, count(*) FILTER (WHERE (mask >> y) & 1 = 1) AS n_same_label,
           count(*) FILTER (WHERE mask IS NOT NULL AND (mask >> y) & 1 = 0) AS n_other_label_only FROM j GROUP BY class_name""",
-    "stump_probe": f"""WITH {FLOWS_SQL}, c AS (SELECT column_name, x, sum(y) AS pos, count(*) AS n FROM ({unpivot_sql('flows', 'y', "split_name = 'train'")}) GROUP BY column_name, x),
-        r AS (SELECT column_name, x, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER o AS p, sum(n - pos) OVER o AS m FROM c
-          WINDOW w AS (PARTITION BY column_name ORDER BY x ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY column_name)),
-        b AS (SELECT *, (tp::DOUBLE / p + (m - fp)::DOUBLE / m) / 2 AS low FROM r)
+    "stump_probe": STUMP_SQL + """
         SELECT column_name, round(max(greatest(low, 1 - low)), 6) AS balanced_accuracy, count(*) AS n_distinct, max(greatest(low, 1 - low)) >= 0.99 AS suspect FROM b GROUP BY column_name""",
     "correlated_pairs": f"WITH {FLOWS_SQL}, t AS (SELECT * FROM flows WHERE split_name = 'train'), p AS (" + " UNION ALL ".join(
         f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS r FROM t" for a, b in _PAIRS) + ") SELECT column_a, column_b, round(r, 6) AS r FROM p WHERE abs(r) > 0.3",

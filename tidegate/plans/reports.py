@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegate.functions.numeric import norms
+from tidegate.functions.numeric import norms, relative_error
 from tidegate.operators import metrics as M, perturb as P, report as R, scorers as S
+from tidegate.operators.relate import best_stumps
 from tidegate.operators.rules import Validator
 from tidegate.operators.sample import ranked
-from tidegate.plans.base import CHECKED_SQL, FLOWS_SQL, PARAMS_SQL, SCALED_SQL, flows, logit_sql, member, mined, rounded, scaling
+from tidegate.plans.base import CHECKED_SQL, FLOWS_SQL, PARAMS_SQL, SCALED_SQL, SCORE_SQL, flows, logit_sql, member, mined, prob_sql, rounded, scaling, scored
+from tidegate.plans.pools import STUMP_SQL
 from tidegate.schema import FEATURES
 from tidegate.sources.tables import read_table
 from tidegate.streaming.gate import run_gate
@@ -55,6 +57,43 @@ def catch_attribution(spark: SparkSession, d: str) -> DataFrame:
     return rounded(both.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), pct(F.col("adv")).alias("catch_pct"), pct(F.col("clean")).alias("clean_pct"), pct(F.col("adv") & ~F.col("clean")).alias("attributable_pct")))
 
 
+def realism_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What the realism classes assume, measured on test rows: benign, attack and all, from one aggregation."""
+    rows = flows(spark, d).where("split_name = 'test'")
+    rel = relative_error(F.col("srate"), F.col("rate"))
+    share = lambda c: F.avg(c.cast("double"))
+    kind = F.when(F.grouping("y") == 1, "all").when(F.col("y") == 1, "attack").otherwise("benign")
+    out = R.with_totals(rows, [["y"], []], [
+        kind.alias("kind"), F.count(F.lit(1)).alias("n_rows"), F.max(rel).alias("max_rel_rate"), share(F.col("duration").between(1.0, 255.0)).alias("ttl_inside"),
+        share((F.col("pkt_min") <= F.col("pkt_avg")) & (F.col("pkt_avg") <= F.col("pkt_max"))).alias("ordered"), share(F.col("rst_count") == 0).alias("no_reset"), share(F.col("pkt_max") <= 1514.0).alias("under_cap"),
+    ])
+    return rounded(out.drop("y"))
+
+
+def eligible_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Attack rows of test that all members detect, per category."""
+    found = [F.col(f"p_{m}") >= 0.5 for m in ("mlp", "cnn", "lstm")]
+    rows = scored(spark, d).where((F.col("y") == 1) & (F.col("split_name") == "test") & found[0] & found[1] & found[2])
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_id").alias("first_id"))
+
+
+def cell_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Deployed verdicts of one cell (FGSM against the first member): per category who still detects it."""
+    rows = scored(spark, d).where("split_name = 'test' and y = 1").withColumn("adv", P.fgsm(F.col("x"), F.col("y"), member("mlp"), 0.1))
+    detects = {m: (F.col(f"p_{m}") >= 0.5, member(m).prob(F.col("adv")) >= 0.5) for m in ("mlp", "cnn", "lstm")}
+    no = F.lit(False)
+    made = R.evaluate_cell(rows, detects, (no, no), "mlp", (F.col("x"), F.col("adv")))
+    return rounded(made.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("detected_mlp_clean").alias("n_clean"), F.count_if("evades_target").alias("n_evades_target"), F.count_if("evades_ensemble").alias("n_evades_ensemble"), F.avg("l2").alias("mean_l2")))
+
+
+def integrality_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the best single-column rules' strength sits in integer columns."""
+    rows = flows(spark, d).where("split_name = 'train'")
+    strength = best_stumps(rows, FEATURES, F.col("y")).select("column_name", F.round(F.col("balanced_accuracy") - 0.5, 9).alias("importance"))
+    whole = ["syn_flag_number", "ack_flag_number", "http", "tcp", "udp", "icmp", "protocol_type"]
+    return rounded(R.integrality_overlap(strength, whole, 8))
+
+
 # -- models -----------------------------------------------------------------------------------------------------
 
 
@@ -132,7 +171,7 @@ def stream_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cell_summary_grouping_sets, category_pivot, tier_table, evasion_rates, catch_attribution, forest_fit_score, topk_importance, tree_probe, mlp_train_score,
+    cell_summary_grouping_sets, category_pivot, tier_table, evasion_rates, catch_attribution, realism_audit, eligible_rows, cell_verdicts, integrality_overlap, forest_fit_score, topk_importance, tree_probe, mlp_train_score,
     cnn_forward, lstm_forward, stream_gate,
 )}
 
@@ -154,5 +193,16 @@ SQL = {
     "tier_table": f"WITH {_LINES}, m AS (SELECT spec, attack, avg(pass_and_evade_pct) AS v FROM lines WHERE grp = 'all' GROUP BY ALL) SELECT {_TIER} AS tier, spec, round(max(v), 6) AS best FROM m GROUP BY ALL",
     "evasion_rates": f"""WITH {_LINES} SELECT spec, attack, printf('%.2f [%.1f, %.1f]', round(avg(evasion_pct), 6), round(avg(evasion_lo), 6), round(avg(evasion_hi), 6)) AS evasion,
         round(median(med_features_changed), 6) AS med_changed FROM lines WHERE grp = 'all' GROUP BY ALL""",
+    "realism_audit": f"""WITH {FLOWS_SQL}, k AS (SELECT *, unnest(['all', CASE WHEN y = 1 THEN 'attack' ELSE 'benign' END]) AS kind FROM flows WHERE split_name = 'test')
+        SELECT kind, count(*) AS n_rows, round(max(abs(srate - rate) / (abs(rate) + 1e-9)), 6) AS max_rel_rate, round(avg((duration BETWEEN 1 AND 255)::INT), 6) AS ttl_inside,
+          round(avg((pkt_min <= pkt_avg AND pkt_avg <= pkt_max)::INT), 6) AS ordered, round(avg((rst_count = 0)::INT), 6) AS no_reset, round(avg((pkt_max <= 1514)::INT), 6) AS under_cap FROM k GROUP BY kind""",
+    "eligible_rows": f"WITH {SCORE_SQL} SELECT category, count(*) AS n_rows, min(row_id) AS first_id FROM scored WHERE y = 1 AND split_name = 'test' AND p_mlp >= 0.5 AND p_cnn >= 0.5 AND p_lstm >= 0.5 GROUP BY category",
+    "cell_verdicts": f"""WITH {SCORE_SQL}, w AS (SELECT {_W} AS w), m AS (SELECT *, {_ADV} AS adv FROM scored, w WHERE split_name = 'test' AND y = 1),
+        j AS (SELECT category, p_mlp >= 0.5 AS c, {prob_sql('mlp', 'adv')} >= 0.5 AS a1, {prob_sql('cnn', 'adv')} >= 0.5 AS a2, {prob_sql('lstm', 'adv')} >= 0.5 AS a3,
+          sqrt(list_sum(list_transform(range(1, 21), lambda i: (adv[i] - x[i]) * (adv[i] - x[i])))) AS l2 FROM m)
+        SELECT category, count(*) AS n_rows, count(*) FILTER (WHERE c) AS n_clean, count(*) FILTER (WHERE NOT a1) AS n_evades_target, count(*) FILTER (WHERE NOT (a1 OR a2 OR a3)) AS n_evades_ensemble, round(avg(l2), 6) AS mean_l2 FROM j GROUP BY category""",
+    "integrality_overlap": STUMP_SQL + """, top AS (SELECT column_name, round(max(greatest(low, 1 - low)) - 0.5, 9) AS importance FROM b GROUP BY column_name ORDER BY importance DESC, column_name LIMIT 8)
+        SELECT count(*) AS n_top, count(*) FILTER (WHERE i) AS n_integer, round(sum(importance) FILTER (WHERE i) / sum(importance), 6) AS mass FROM (SELECT *, column_name IN
+          ('syn_flag_number', 'ack_flag_number', 'http', 'tcp', 'udp', 'icmp', 'protocol_type') AS i FROM top)""",
     "stream_gate": f"WITH {CHECKED_SQL} SELECT category, count(*) AS n_rows, count(*) FILTER (WHERE reject) AS n_rejected FROM judged GROUP BY category",
 }

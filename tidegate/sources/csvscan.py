@@ -10,7 +10,7 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidegate.functions.numeric import all_finite, any_of
 from tidegate.operators.scan import check_drop_columns
@@ -34,8 +34,17 @@ def read_flows(spark: SparkSession, path: str, label: str = "label", drop: Seque
     if label not in header:
         raise ValueError(f"no column {label!r} in {header}")
     check_drop_columns(header, drop)
-    schema = T.StructType([T.StructField(c, T.StringType() if c == label else T.DoubleType()) for c in header])
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path).drop(*drop)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    text = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    return text.drop(*drop).select(*(F.col(f"`{c}`") if c == label else _double(c) for c in header if c not in drop))
+
+
+def _double(name: str) -> Column:
+    """Number, NaN or infinity in any usual spelling; a blank field is null, anything else fails the job."""
+    c = F.col(f"`{name}`")
+    value = c.try_cast("double")
+    failed = F.raise_error(F.concat(F.lit(f"{name} is no number: "), c)).cast("double")
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(None).cast("double")).when(value.isNull(), failed).otherwise(value).alias(name)
 
 
 def fingerprint(source: dict, settings: dict) -> str:
