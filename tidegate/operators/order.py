@@ -7,16 +7,18 @@ gathers the few values inside it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegate.functions.numeric import finite
+from tidegate.scratch import materialize
 from tidegate.sources.tables import bounded
 
-ACCURACY = 10_000
+ACCURACY = 2_000
 MARGIN = 4.0 / ACCURACY  # ranks that a bracket reaches beyond its quantile on either side
-SMALL = 100_000  # a group of up to so many values is ranked whole
-BLOCKS = 64
+SMALL = 10_000  # a group of up to so many values is ranked whole
+BLOCKS = 64  # a power of two
 MAX_BROADCAST = 100_000
 
 
@@ -27,54 +29,71 @@ def _on(left: Sequence[str], right: Sequence[str]) -> list[Column]:
 def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, probs: Sequence[float], few_groups: bool = False) -> DataFrame:
     """(by, n_values, q): interpolated quantiles of the finite values per group, as ``percentile`` gives them.
 
-    Brackets hold about 0.1 % of a group's values (equal ones counted as one; all of a small group), which is what one
+    Brackets hold about 0.4 % of a group's values (equal ones counted as one; all of a small group), which is what one
     task ranks; all else is counted map-side. ``few_groups`` says that the number of groups follows from the schema
     (columns, rules): the brackets then go to every executor without being counted first. Groups without a finite
     value are absent."""
     names = [f"_g{i}" for i in range(len(by))]
     rows = df.select(*(F.col(c).alias(g) for c, g in zip(by, names)), F.col(x).cast("double").alias("_x")).where(finite(F.col("_x")))
     ends = [(max(0.0, p - MARGIN), min(1.0, p + MARGIN)) for p in probs]
+    k = len(probs)
     sketch = rows.groupBy(*names).agg(
-        F.percentile_approx("_x", [a for a, _ in ends], ACCURACY).alias("_lo"), F.percentile_approx("_x", [b for _, b in ends], ACCURACY).alias("_hi"),
+        F.percentile_approx("_x", [a for a, _ in ends] + [b for _, b in ends], ACCURACY).alias("_ends"),
         F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
     )
     keys = [f"_k{i}" for i in range(len(by))]
     small = F.col("_n") <= SMALL  # ranks next to each other may leave a bracket of few values
-    low = F.array(*(F.when(small | F.lit(a == 0.0), F.col("_min")).otherwise(F.col("_lo")[i]) for i, (a, _) in enumerate(ends)))
-    high = F.array(*(F.when(small | F.lit(b == 1.0), F.col("_max")).otherwise(F.col("_hi")[i]) for i, (_, b) in enumerate(ends)))
-    brackets = sketch.select(*(F.col(g).alias(k) for g, k in zip(names, keys)), low.alias("_lo"), high.alias("_hi"), "_n")
-    joined = rows.join(F.broadcast(brackets) if few_groups else bounded(brackets, MAX_BROADCAST), _on(names, keys))
-    cells = F.array(*(F.struct(F.lit(i).alias("_i"), F.when(F.col("_x") >= F.col("_lo")[i], F.col("_x")).alias("_v"), (F.col("_x") <= F.col("_hi")[i]).alias("_in")) for i in range(len(probs))))
-    counts = joined.select(*names, "_n", F.inline(cells)).where("_in").groupBy(*names, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy(*names, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_upto", upto).where("_v is not null")
-    p = F.element_at(F.array(*(F.lit(float(v)) for v in probs)), F.col("_i") + 1)
-    place = p * (F.col("_n") - 1)
-    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
-    found = ranked.withColumn("_h", place).groupBy(*names, "_i").agg(at(F.floor("_h")).alias("_a"), at(F.ceil("_h")).alias("_b"), F.first("_h").alias("_h"), F.first("_n").alias("_n"))
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))
-    per = found.groupBy(*names).agg(F.max("_n").alias("n_values"), *(F.max(F.when(F.col("_i") == i, value)).alias(f"_q{i}") for i in range(len(probs))))
-    return per.select(*(F.col(g).alias(c) for g, c in zip(names, by)), "n_values", F.array(*(F.col(f"_q{i}") for i in range(len(probs)))).alias("q"))
-
-
-def running_sums(df: DataFrame, by: Sequence[str], order: str, values: dict[str, str], descending: bool = False) -> DataFrame:
+    low = [F.col("_min") if a == 0.0 else F.when(small, F.col("_min")).otherwise(F.col("_ends")[i]) for i, (a, _) in enumerate(ends)]
+    high = [F.col("_max") if b == 1.0 else F.when(small, F.col("_max")).otherwise(F.col("_ends")[k + i]) for i, (_, b) in enumerate(ends)]
+    sides = [v.alias(f"_{side}{i}") for side, vs in (("lo", low), ("hi", high)) for i, v in enumerate(vs)]
+    brackets = sketch.select(*(F.col(g).alias(c) for g, c in zip(names, keys)), *sides, "_n", small.alias("_small"))
+    joined = rows.join(F.broadcast(brackets) if few_groups else bounded(brackets, MAX_BROADCAST), _on(names, keys)).drop(*keys)
+    x = F.col("_x")
+    # Counted below each bracket by one aggregation; only what lies inside one goes on, from a small group once for
+    # all quantiles (-1), from a large one per bracket.
+    below = joined.groupBy(*names).agg(F.max("_n").alias("n_values"), *(F.count_if(x < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(k)))
+    inside = [(x >= F.col(f"_lo{i}")) & (x <= F.col(f"_hi{i}")) for i in range(k)]
+    near = joined.where(reduce(lambda p, q: p | q, inside))
+    hits = F.array_compact(F.array(*(F.when(c, i) for i, c in enumerate(inside))))
+    sent = near.select(*names, x.alias("_v"), F.explode(F.when(F.col("_small"), F.array(F.lit(-1))).otherwise(hits)).alias("_i"))
+    counts = sent.groupBy(*names, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*names, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    base = below.select(*(F.col(g).alias(c) for g, c in zip(names, keys)), "n_values", *(f"_below{i}" for i in range(k)))
+    ranked = counts.withColumn("_upto", upto).join(F.broadcast(base) if few_groups else bounded(base, MAX_BROADCAST), _on(names, keys)).drop(*keys)
+    place = [F.lit(float(p)) * (F.col("n_values") - 1) for p in probs]
+
+    def at(i: int, rank: Column) -> Column:
+        return F.min(F.when(F.col("_i").isin(-1, i) & (F.col(f"_below{i}") + F.col("_upto") > rank), F.col("_v")))
+
+    found = ranked.groupBy(*names, "n_values").agg(*(at(i, F.floor(h)).alias(f"_a{i}") for i, h in enumerate(place)), *(at(i, F.ceil(h)).alias(f"_b{i}") for i, h in enumerate(place)))
+    q = F.array(*(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (h - F.floor(h)) for i, h in enumerate(place)))
+    return found.select(*(F.col(g).alias(c) for g, c in zip(names, by)), "n_values", q.alias("q"))
+
+
+def running_sums(df: DataFrame, by: Sequence[str], order: str, values: dict[str, str], descending: bool = False, few_groups: bool = False) -> DataFrame:
     """Add, for each of ``values`` (new name -> summed column), the running sum by ``order`` within the groups.
 
     ``order`` must be unique in a group (aggregate first). Groups are cut into about 64 blocks at sketched quantiles;
-    the blocks' totals are summed up across blocks and the rows' sums within a block."""
+    the blocks' totals are summed up across blocks and the rows' sums within a block. The input is read three times
+    and therefore written first. ``few_groups``: see ``exact_quantiles``."""
+    small = F.broadcast if few_groups else lambda d: bounded(d, MAX_BROADCAST)
+    df = materialize(df, "running")
     names = [f"_g{i}" for i in range(len(by))]
     keyed = df.withColumns({g: F.col(c) for c, g in zip(by, names)})
     cuts = keyed.groupBy(*names).agg(F.percentile_approx(order, [i / BLOCKS for i in range(1, BLOCKS)], 1000).alias("_cuts"))
     keys = [f"_k{i}" for i in range(len(by))]
     cuts = cuts.select(*(F.col(g).alias(k) for g, k in zip(names, keys)), "_cuts")
-    rows = keyed.join(bounded(cuts, MAX_BROADCAST), _on(names, keys)).drop(*keys)
-    rows = rows.withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    rows = keyed.join(small(cuts), _on(names, keys)).drop(*keys)
+    # Binary search for the number of cuts below the value.
+    steps = F.array(*(F.lit(BLOCKS >> s) for s in range(1, BLOCKS.bit_length())))
+    step = lambda i, s: i + F.when(F.get("_cuts", i + s - 1) < F.col(order), s).otherwise(0)
+    rows = rows.withColumn("_block", F.aggregate(steps, F.lit(0), step)).drop("_cuts")
     way = F.col("_block").desc() if descending else F.col("_block").asc()
     totals = rows.groupBy(*names, "_block").agg(*(F.sum(v).alias(f"_t_{n}") for n, v in values.items()))
     before = Window.partitionBy(*names).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
     offset = totals.select(*(F.col(g).alias(k) for g, k in zip(names, keys)), F.col("_block").alias("_kb"), *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values))
-    rows = rows.join(bounded(offset, MAX_BROADCAST), [*_on(names, keys), F.col("_block") == F.col("_kb")])
-    step = F.col(order).desc() if descending else F.col(order).asc()
-    inside = Window.partitionBy(*names, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(small(offset), [*_on(names, keys), F.col("_block") == F.col("_kb")])
+    down = F.col(order).desc() if descending else F.col(order).asc()
+    inside = Window.partitionBy(*names, "_block").orderBy(down).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumns({n: F.col(f"_o_{n}") + F.sum(v).over(inside) for n, v in values.items()})
     return out.select(*df.columns, *values)

@@ -56,7 +56,7 @@ def best_stumps(df: DataFrame, columns: Sequence[str], y: Column) -> DataFrame:
     counts = df.select(F.inline(cells), y.cast("int").alias("y")).groupBy("column_name", "x").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("neg", F.col("n") - F.col("pos"))
     whole = df.agg(F.sum(y.cast("int")).alias("p"), F.count_if(y == 0).alias("m"))
-    run = running_sums(counts, ["column_name"], "x", {"tp": "pos", "fp": "neg"}).join(F.broadcast(whole))
+    run = running_sums(counts, ["column_name"], "x", {"tp": "pos", "fp": "neg"}, few_groups=True).join(F.broadcast(whole))
     low = (F.coalesce(F.try_divide("tp", "p"), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("m") - F.col("fp"), "m"), F.lit(0.0))) / 2.0
     best = run.groupBy("column_name").agg(F.max(F.greatest(low, 1.0 - low)).alias("balanced_accuracy"), F.count(F.lit(1)).alias("n_distinct"))
     return best.withColumn("suspect", F.col("balanced_accuracy") >= 0.99)

@@ -181,16 +181,18 @@ def integer_columns(rows: DataFrame, columns: Sequence[str], scaling: Scaling) -
 
 
 def mine(trusted: DataFrame, scaling: Scaling, candidates: Sequence[Rule], indicators: Sequence[str], percentile: float = 0.999) -> RuleSet:
-    """Rules from trusted training rows (raw units)."""
+    """Rules from trusted training rows (raw units).
+
+    The trusted rows' columns are written once: the dependent fits below read them a dozen times."""
     columns = scaling.names
+    trusted = materialize(trusted.select(*columns, protocol_group(indicators).alias("grp")), "trusted")
     edge = trusted.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max)))).first()
     span = {c: edge[f"hi_{c}"] - edge[f"lo_{c}"] for c in columns}
     slack = {c: RANGE_TOLERANCE * max(span[c], SPAN_FLOOR) for c in columns}
     whole = integer_columns(trusted, columns, scaling).where("integral").collect()
     rules = declared(columns, candidates)
     measured = {r.rule: r for r in dependency_calibration(trusted, rules, percentile).collect()} if rules else {}
-    grouped = trusted.withColumn("grp", protocol_group(indicators))
-    found = group_profiles(grouped, columns)
+    found = group_profiles(trusted, columns)
     everyone = found.pop(None)
     groups = {}
     for g in [*indicators, OTHER]:
@@ -246,13 +248,17 @@ class Validator:
     def score(self, group: Column | None = None) -> Column:
         """Mean over columns of |x - median| / MAD of the row's group, each at most 50."""
         group = self.group() if group is None else group
-        groups = self.rules.groups
-        parts = []
-        for c in self.rules.columns:
-            med = self._per_group({g: p["median"][c] for g, p in groups.items()}, group)
-            mad = self._per_group({g: p["mad"][c] for g, p in groups.items()}, group)
-            parts.append(F.least(F.abs(F.col(c) - med) / mad, F.lit(Z_CLIP)))
-        return total(parts) / float(len(parts))
+        columns = self.rules.columns
+
+        def of(profile: dict) -> Column:
+            far = [F.least(F.abs(F.col(c) - profile["median"][c]) / profile["mad"][c], F.lit(Z_CLIP)) for c in columns]
+            return total(far) / float(len(columns))
+
+        out = of(self.rules.groups[OTHER])
+        for g, profile in self.rules.groups.items():
+            if g != OTHER:
+                out = F.when(group == g, of(profile)).otherwise(out)
+        return out
 
     def threshold(self, group: Column | None = None) -> Column:
         return self._per_group(self.rules.thresholds, self.group() if group is None else group)
