@@ -1,10 +1,23 @@
 import pytest
 
 from oracle import compare
-from tidegate.plans import catalog
+from tidegate.plans import base, catalog, reports, robustness, scores, validation
 
 DATA = "/root/testdata/sf0.01"
-SLOW = {"forest_fit_score", "topk_importance", "tree_probe", "permutation_importance", "adaptive_search", "blackbox_search", "primitive_search", "feature_search", "catch_attribution"}
+SLOW = {"forest_fit_score", "topk_importance", "tree_probe", "permutation_importance", "adaptive_search", "blackbox_search", "primitive_search", "feature_search"}
+
+
+@pytest.fixture(autouse=True)
+def mined_once(monkeypatch, fitted=[]):
+    """All queries here read one table: its rules are mined by the first that needs them."""
+
+    def mined(rows):
+        if not fitted:
+            fitted.append(base.mined(rows))
+        return fitted[0]
+
+    for module in (reports, robustness, scores, validation):
+        monkeypatch.setattr(module, "mined", mined)
 
 
 @pytest.mark.parametrize("name", sorted(n for n in catalog.SQL if not n.startswith("p1_")))
@@ -17,5 +30,6 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
 
-def test_flagship(spark):
+def test_flagship(spark, monkeypatch):
+    monkeypatch.setattr(validation, "mined", base.mined)
     assert catalog.flagship(spark, "/root/testdata/sf0.001").count() > 0

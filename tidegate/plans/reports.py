@@ -182,7 +182,13 @@ _ADV = "list_transform(range(1, 21), lambda i: least(greatest(x[i] - sign(w[i])
 _TIER = "CASE " + " ".join(f"WHEN attack = '{a}' THEN '{t}'" for a, t in R.TIERS.items()) + " ELSE 'other' END"
 _W = "[" + ", ".join(f"({w})::DOUBLE" for w in member("mlp").weights) + "]"
 
+# The widened test rows join the table under negative ids and a split of their own, which no fit reads.
+_BOTH = CHECKED_SQL.replace(FLOWS_SQL, FLOWS_SQL.replace("flows AS (", "flows0 AS (", 1) + """, flows AS (SELECT * FROM flows0 UNION ALL
+  SELECT * REPLACE (-row_id AS row_id, 'wide' AS split_name, """ + ", ".join(f"{c} + 30 AS {c}" for c in ("pkt_min", "pkt_avg", "pkt_max", "tot_size")) + ") FROM flows0 WHERE split_name = 'test')")
+
 SQL = {
+    "catch_attribution": f"""WITH {_BOTH} SELECT c.category, count(*) AS n_rows, round(100 * avg(a.reject::INT), 6) AS catch_pct, round(100 * avg(c.reject::INT), 6) AS clean_pct,
+        round(100 * avg((a.reject AND NOT c.reject)::INT), 6) AS attributable_pct FROM judged c JOIN judged a ON a.row_id = -c.row_id WHERE c.split_name = 'test' GROUP BY c.category""",
     "cell_summary_grouping_sets": f"""WITH {FLOWS_SQL}, {PARAMS_SQL}, {SCALED_SQL}, w AS (SELECT {_W} AS w), m AS (SELECT category, CASE WHEN category IN ('DDoS', 'DoS', 'Mirai') THEN 'pop:100-pkt' ELSE 'pop:10-pkt' END AS pop,
           x, {_ADV} AS adv FROM scaled, w WHERE split_name = 'test' AND y = 1),
         c AS (SELECT category, pop, {logit_sql('mlp', 'adv')} < 0 AS e, {logit_sql('mlp')} >= -1 AS p, sqrt(list_sum(list_transform(range(1, 21), lambda i: (adv[i] - x[i]) * (adv[i] - x[i])))) AS cost FROM m),
