@@ -144,3 +144,25 @@ def test_searches(spark):
     simple = Searcher(p, [Linear("l", [float(v) for v in w], -1.2).margin])
     rows = search(df.repartition(3), simple, "feature", "id", "x", "floor", ["cat"], steps=8, restarts=2).collect()
     assert {r.id: r.won for r in rows} == dict(zip(ids.tolist(), won1.tolist())) and search(df.limit(0), simple, "blackbox", "id", "x", "floor").count() == 0
+
+
+@pytest.mark.parametrize("name,least", [
+    ("feature_search", {"steps": 100, "restarts": 10}), ("primitive_search", {"steps": 100, "restarts": 10}), ("adaptive_search", {"steps": 100, "restarts": 10}), ("blackbox_search", {"queries": 1000}),
+])
+def test_search_takes_every_eligible_row(spark, monkeypatch, name, least, ruled=[]):
+    """Up to 900 a category that all attacked members detect, searched at the reference's settings."""
+    from tidegate.plans import base, robustness
+
+    seen, d = [], "/root/testdata/sf0.01"
+    rows = base.flows(spark, d)
+    ruled or ruled.append(base.mined(rows))
+    monkeypatch.setattr(robustness, "mined", lambda _: ruled[0])
+    monkeypatch.setattr(robustness, "search", lambda df, *a, **settings: seen.append((df, settings)) or df.selectExpr("category", "false AS won", "0D AS detail"))
+    robustness.QUERIES[name](spark, d)
+    (chosen, settings), = seen
+    assert all(settings[k] >= v for k, v in least.items())
+    s = base.scaling(rows.where("split_name = 'train'"))
+    test = rows.where("split_name = 'test' and y = 1").select("row_id", s.vector().alias("x")).collect()
+    w = [base.member(m) for m in robustness.ATTACKED]
+    want = {r.row_id for r in test if all(np.dot(m.weights, r.x) + m.bias >= 0 for m in w)}
+    assert {r.row_id for r in chosen.select("row_id").collect()} == want and len(want) > 300

@@ -8,7 +8,7 @@ from tidegate.functions.numeric import norms
 from tidegate.operators import perturb as P, realism as Z, sample
 from tidegate.operators.metrics import perturbation_summary
 from tidegate.operators.search import ArrayValidator, Searcher, search
-from tidegate.plans.base import FLOWS_SQL, PARAMS_SQL, SCALED_SQL, LOG1P, flows, logit_sql, member, mined, rounded, scaling
+from tidegate.plans.base import FLOWS_SQL, PARAMS_SQL, SCALED_SQL, LOG1P, every, flows, logit_sql, member, mined, rounded, scaling
 from tidegate.schema import FEATURES
 
 N = len(FEATURES)
@@ -193,34 +193,40 @@ def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rounded(long.groupBy("floor", "category").agg(F.avg("kept").alias("share_kept"), F.sum((F.col("rate") * F.col("kept") >= 10.0).cast("long")).alias("n_fast")))
 
 
-# -- searches: on a sample per category, as the operator's own row selection -------------------------------------
+# -- searches: on the reference's selection of rows, with its settings -------------------------------------------
 
+ATTACKED = ["mlp", "cnn"]
+PER_CATEGORY = 900
 
-def _search(spark: SparkSession, d: str, kind: str, **settings: float) -> DataFrame:
+
+def _search(spark: SparkSession, d: str, kind: str, **settings: object) -> DataFrame:
+    """Test rows that every attacked member detects, up to 900 a category; spread anew, as a search costs far more than its row."""
     rows = flows(spark, d)
     rules, s = mined(rows), scaling(rows.where("split_name = 'train'"))
     p = Z.Projector(Z.RealismSpec.from_dict(REALISM, "C"), s)
-    chosen = sample.per_category(rows, "category", "row_id", 12, F.col("split_name") == "test", "Benign")
-    at = chosen.select("row_id", "category", s.vector().alias("x"), p.spec.rate_floor(F.col("category")).alias("floor"))
-    seeker = Searcher(p, [member("mlp").margin, member("cnn").margin], ArrayValidator(rules))
-    found = search(at, seeker, kind, "row_id", "x", "floor", ["category"], **settings)
+    members = [member(m) for m in ATTACKED]
+    at = rows.where("split_name = 'test'").select("row_id", "category", "y", s.vector().alias("x"), p.spec.rate_floor(F.col("category")).alias("floor"))
+    eligible = every([F.col("y") == 1, *(m.detects(F.col("x")) for m in members)])
+    chosen = sample.per_category(at, "category", "row_id", PER_CATEGORY, eligible, "Benign").repartition(24, "row_id")
+    seeker = Searcher(p, [m.margin for m in members], ArrayValidator(rules))
+    found = search(chosen, seeker, kind, "row_id", "x", "floor", ["category"], **settings)
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("won").alias("n_won"), F.avg("detail").alias("detail"))
 
 
 def feature_search(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "feature", steps=8)
+    return _search(spark, d, "feature", steps=100, step=0.01, restarts=10)
 
 
 def primitive_search(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "primitive", steps=8)
+    return _search(spark, d, "primitive", steps=100, frac=0.05, restarts=10)
 
 
 def adaptive_search(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "adaptive_feature", steps=5, restarts=0)
+    return _search(spark, d, "adaptive_feature", ladder=(0.0, 0.1, 1.0, 10.0, 100.0), steps=100, step=0.01, restarts=10)
 
 
 def blackbox_search(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "blackbox", queries=60)
+    return _search(spark, d, "blackbox", queries=1000)
 
 
 QUERIES = {f.__name__: f for f in (
