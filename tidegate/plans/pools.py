@@ -29,9 +29,15 @@ def correlated_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pairs.where(F.abs("r") > 0.3), 6)
 
 
+def correlated_feature_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """``correlated_pairs`` over all features; that one is bound to the columns of its SQL."""
+    pairs = relate.correlations(flows(spark, d).where("split_name = 'train'"), FEATURES)
+    return rounded(pairs.where(F.abs("r") > 0.3), 6)
+
+
 def correlated_components(spark: SparkSession, d: str) -> DataFrame:
-    pairs = relate.correlations(flows(spark, d).where("split_name = 'train'"), WIDE)
-    groups = relate.correlated_groups(pairs, WIDE, 0.5)
+    pairs = relate.correlations(flows(spark, d).where("split_name = 'train'"), FEATURES)
+    groups = relate.correlated_groups(pairs, FEATURES, 0.5)
     return spark.createDataFrame([(g[0], c) for g in groups for c in g], "root string, column_name string")
 
 
@@ -116,7 +122,7 @@ def linf_by_cell(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    train_test_overlap, stump_probe, correlated_pairs, correlated_components, permutation_importance, discriminator_dataset, pool_antijoin, grouped_split,
+    train_test_overlap, stump_probe, correlated_pairs, correlated_feature_pairs, correlated_components, permutation_importance, discriminator_dataset, pool_antijoin, grouped_split,
     leave_one_out_fold, catch_by_family, worst_holdout, attack_success, augment_pool, linf_by_cell,
 )}
 
@@ -127,6 +133,7 @@ _REC = "rec AS (SELECT record_id, group_key, lower(trim(attack)) AS attack, lowe
 _HELD = """held AS (SELECT r.*, t.rk <= ceil(t.n * 0.3::DOUBLE) AS in_test FROM rec r JOIN (SELECT g, row_number() OVER (ORDER BY md5('42:' || g)) AS rk, count(*) OVER () AS n
     FROM (SELECT DISTINCT coalesce('=' || group_key, '-') AS g FROM rec)) t ON t.g = coalesce('=' || r.group_key, '-'))"""
 _PAIRS = [(a, b) for i, a in enumerate(WIDE) for b in WIDE[i + 1 :]]
+_FEATURE_PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
 
 STUMP_SQL = f"""WITH {FLOWS_SQL}, c AS (SELECT column_name, x, sum(y) AS pos, count(*) AS n FROM ({unpivot_sql('flows', 'y', "split_name = 'train'")}) GROUP BY column_name, x),
         r AS (SELECT column_name, x, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp, sum(pos) OVER o AS p, sum(n - pos) OVER o AS m FROM c
@@ -142,6 +149,8 @@ SQL = {
         SELECT column_name, round(max(greatest(low, 1 - low)), 6) AS balanced_accuracy, count(*) AS n_distinct, max(greatest(low, 1 - low)) >= 0.99 AS suspect FROM b GROUP BY column_name""",
     "correlated_pairs": f"WITH {FLOWS_SQL}, t AS (SELECT * FROM flows WHERE split_name = 'train'), p AS (" + " UNION ALL ".join(
         f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS r FROM t" for a, b in _PAIRS) + ") SELECT column_a, column_b, round(r, 6) AS r FROM p WHERE abs(r) > 0.3",
+    "correlated_feature_pairs": f"WITH {FLOWS_SQL}, t AS (SELECT * FROM flows WHERE split_name = 'train'), p AS (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS r FROM t" for a, b in _FEATURE_PAIRS) + ") SELECT column_a, column_b, round(r, 6) AS r FROM p WHERE abs(r) > 0.3",
     "discriminator_dataset": f"""WITH {FLOWS_SQL}, s AS (SELECT row_id FROM flows WHERE split_name = 'test' AND y = 1),
         pool AS (SELECT row_id, y FROM flows WHERE split_name IN ('test', 'train') AND row_id NOT IN (SELECT row_id FROM s)),
         k AS (SELECT greatest(0, 4 * count(*) - count(DISTINCT row_id)) AS extra FROM s),
