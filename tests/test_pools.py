@@ -18,3 +18,9 @@ def test_feature_pairs(spark):
     compare(spark, DATA, pools.correlated_feature_pairs, pools.SQL["correlated_feature_pairs"])
     pairs = {(r.column_a, r.column_b) for r in pools.correlated_feature_pairs(spark, DATA).collect()}
     assert {("protocol_type", "udp"), ("ack_flag_number", "tcp"), ("tcp", "udp")} <= pairs
+
+
+def test_importance_of_every_feature(spark):
+    groups = [r.column_group.split("+") for r in pools.permutation_importance(spark, DATA).collect()]
+    assert sorted(c for g in groups for c in g) == sorted(FEATURES)
+    assert ["pkt_avg", "pkt_min", "tot_size"] in groups and ["rate", "srate"] in groups

@@ -42,11 +42,12 @@ def correlated_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    rows = flows(spark, d).where("split_name = 'test'")
-    s = scaling(flows(spark, d).where("split_name = 'train'"))
-    flat = s.transform(rows, as_float=False)
+    """Every feature: those with |r| > 0.95 in train are shuffled together, the others alone."""
+    rows, train = flows(spark, d).where("split_name = 'test'"), flows(spark, d).where("split_name = 'train'")
+    flat = scaling(train).transform(rows, as_float=False)
+    groups = relate.correlated_groups(relate.correlations(train, FEATURES), FEATURES, 0.95)
     score = lambda df: (member("mlp").prob([F.col(c) for c in FEATURES]) >= 0.5).cast("int")
-    return relate.permutation_importance(flat, score, [["rate", "srate"], ["pkt_min", "pkt_avg", "pkt_max"], ["duration"]], "y", "row_id", repeats=2)
+    return relate.permutation_importance(flat, score, groups, "y", "row_id")
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
