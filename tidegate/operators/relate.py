@@ -66,23 +66,27 @@ def permutation_importance(df: DataFrame, score: Callable[[DataFrame], Column],
     """Per group of columns the drop in balanced accuracy when they are shuffled together: mean and deviation.
 
     Row i takes the columns of row pi(i), both numbered by random rank; numbers come from range-partitioned sorts
-    (``monotonically_increasing`` blocks with offsets), not from one global window."""
-    base = df.withColumn("_pred", score(df))
-
-    def balanced(rows: DataFrame) -> float:
-        r = rows.agg(F.avg(F.when(F.col(y) == 1, (F.col("_pred") == 1).cast("double"))), F.avg(F.when(F.col(y) == 0, (F.col("_pred") == 0).cast("double")))).first()
-        return sum(v or 0.0 for v in r) / 2.0
-
-    start, out = balanced(base), []
-    for group in groups:
-        drops = []
-        for k in range(repeats):
-            left = numbered(df, F.xxhash64(F.lit(seed), F.lit(2 * k), F.col(id_col)))
-            right = numbered(df.select(id_col, *group), F.xxhash64(F.lit(seed), F.lit(2 * k + 1), F.col(id_col))).select("_n", *(F.col(c).alias(f"_s_{c}") for c in group))
-            mixed = left.join(right, "_n").withColumns({c: F.col(f"_s_{c}") for c in group})
-            drops.append(start - balanced(mixed.withColumn("_pred", score(mixed))))
-        mean = sum(drops) / repeats
-        out.append(("+".join(group), mean, (sum((d - mean) ** 2 for d in drops) / repeats) ** 0.5))
+    (``monotonically_increasing`` blocks with offsets), not from one global window. The groups of a repeat share the
+    permutation, so a repeat is one join and one aggregation."""
+
+    def balanced(pred: str) -> Column:
+        hit = lambda v: F.coalesce(F.avg(F.when(F.col(y) == v, (F.col(pred) == v).cast("double"))), F.lit(0.0))
+        return (hit(1) + hit(0)) / 2.0
+
+    start = df.withColumn("_pred", score(df)).agg(balanced("_pred")).first()[0]
+    shuffled, drops = sorted({c for group in groups for c in group}), []
+    for k in range(repeats):
+        left = numbered(df, F.xxhash64(F.lit(seed), F.lit(2 * k), F.col(id_col)))
+        right = numbered(df.select(id_col, *shuffled), F.xxhash64(F.lit(seed), F.lit(2 * k + 1), F.col(id_col))).select("_n", *(F.col(c).alias(f"_s_{c}") for c in shuffled))
+        mixed = left.join(right, "_n").withColumns({f"_o_{c}": F.col(c) for c in shuffled})
+        for i, group in enumerate(groups):
+            moved = mixed.withColumns({c: F.col(f"_s_{c}") for c in group})
+            mixed = moved.withColumn(f"_pred{i}", score(moved)).withColumns({c: F.col(f"_o_{c}") for c in group})
+        drops.append([start - v for v in mixed.agg(*(balanced(f"_pred{i}").alias(f"b{i}") for i in range(len(groups)))).first()])
+    out = []
+    for group, own in zip(groups, zip(*drops)):
+        mean = sum(own) / repeats
+        out.append(("+".join(group), mean, (sum((d - mean) ** 2 for d in own) / repeats) ** 0.5))
     return df.sparkSession.createDataFrame(out, "column_group string, importance double, deviation double")
 
 
