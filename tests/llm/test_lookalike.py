@@ -1,5 +1,8 @@
 import unicodedata as U
 
+from pyspark.sql import functions as F
+
+from tidegate.llm import lookalike
 from tidegate.llm.lookalike import canonical_texts, look_alike_pairs, tables
 
 SAME = ["Café office fine pace 10 x", "Café office fine pace 10 x", "Café oﬃce ﬁne pace 10 x", "Café office fine pace 10　x", "Ca­f​é of﻿fice fi⁠ne pace 10 x",
@@ -46,3 +49,26 @@ def test_tables_follow_unicode():
     assert single["Ａ"] == "A" and single[" "] == " " and single["‍"] == "" and single["ё"] == "ë" and joined["ﬃ"] == "ffi"
     assert not {"²", "½", "①", "é", "ß", "д", "\n", "\t"} & (set(single) | set(joined))
     assert bare["é"] == "e" and bare["ё"] == "e" and all(U.category(v)[0] == "L" or v for v in bare.values())
+
+
+def test_the_collation_decides(spark, monkeypatch):
+    """Without it, or with one class or canonical member for all, the results are others."""
+    texts = ["Café x", "Cafe\u0301 x", "cafe x", "Café y"]
+    assert pairs(spark, texts) == [(0, 1)]
+    monkeypatch.setattr(lookalike, "COLLATION", "UTF8_BINARY")
+    assert pairs(spark, texts) == []
+    monkeypatch.setattr(lookalike, "_collated", lambda forms: forms.select("s0", "s1", "t0", "t1", F.lit(0).cast("long").alias("class_id"), F.lit("zzz").alias("canonical")))
+    assert pairs(spark, texts[:2] + ["Cafe x"]) == [(0, 1), (0, 2), (1, 2)]  # one class for all
+    assert {r.canonical for r in canonical_texts(frame(spark, texts[:2])).collect()} == {"zzz"}
+
+
+def test_what_the_collation_equates_but_looks_different(spark):
+    """Digits of other scripts, circled forms, raised letters, ignored marks and swapped vowels stay apart."""
+    stems = [("1", "١"), ("①", "❶"), ("º", "ᵒ"), ("ⅽ", "\u0368"), ("ab", "aـb"), ("เก", "กเ"), ("⑪", "⓫"), ("\u0591a", "a")]
+    texts = [f"é{v}" for pair in stems for v in pair]
+    assert pairs(spark, texts) == []
+    assert pairs(spark, texts + ["e\u0301" + t[1:] for t in texts]) == [(i, i + len(texts)) for i in range(len(texts))]
+
+
+def test_composed_look_alikes_without_a_composed_partner(spark):
+    assert pairs(spark, ["ўa", "y\u0306a", "у\u0306a", "ya", "Ὀ", "O\u0313"]) == [(0, 1), (0, 2), (1, 2), (4, 5)]

@@ -2,10 +2,13 @@
 
 Characters are mapped by built-in expressions: width forms, blanks, joined letter forms and look-alike letters to
 their plain counterparts, invisible characters to nothing. The mapped texts are grouped in SQL under the
-accent-sensitive, case-sensitive Unicode collation, which equates composed and combining accents; each class gets a
-canonical member (its shortest text, the first of those in binary order), joined back to all its documents. The
-collation also equates some characters that look different (digits of other scripts), so members are compared with
-the canonical one after normalisation, and split off where they differ.
+accent-sensitive, case-sensitive Unicode collation: its classes, in which composed and combining accents are equal,
+are the classes of equal-looking texts. Each gets a canonical member (its shortest text, the first of those in
+binary order), joined back to all its documents.
+
+The collation also equates characters that look different (digits of other scripts, circled and squared forms) and
+ignores some visible marks. Which of the characters at hand it does so for is asked of the collation itself, and
+these are shielded by private-use characters, which it tells apart, before texts are collated.
 
 Only texts that can have a partner are grouped: documents are first reduced to hashes of their text and of its
 accent-free skeleton, and whole texts are read again, once per distinct text, where one skeleton has several texts.
@@ -27,12 +30,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidegate.scratch import materialize
 from tidegate.sources.tables import bounded
 
+COLLATION = "UNICODE"  # accent- and case-sensitive
 MAX_BROADCAST = 200_000  # skeletons and first documents that are sent to every executor
 
 # Letters of other scripts that look like a Latin letter, and that letter.
 CYRILLIC = ("АВЕКМНОРСТУХІЈЅҮԌԚԜӀаеорсухіјѕһԁԛԝҽӏү", "ABEKMHOPCTYXIJSYGQWIaeopcyxijshdqwely")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj")
 ARMENIAN = ("Օօսհ", "Oouh")
+# Vowels written before the consonant they follow, which the collation swaps with it.
+PREFIXED_VOWELS = "เแโใไເແໂໃໄᦵᦶᦷᦺꪵꪶꪹꪻꪼ"
 VISIBLE_FORMATS = ("ARABIC", "SYRIAC", "KAITHI", "EGYPTIAN", "SHORTHAND", "MUSICAL")
 
 
@@ -52,7 +58,7 @@ def _is_invisible(c: str) -> bool:
 
 @lru_cache
 def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
-    """(one character to one or none, joined forms to several, composed letter to its bare base).
+    """(one character to one or none, one to several, composed letter to its bare base).
 
     Built by rule from the Unicode database: width forms and joined forms by their decomposition, blanks and
     invisible characters by category, composed look-alikes by their base.
@@ -81,6 +87,8 @@ def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
                 whole = U.normalize("NFC", base + parts[1:])
                 if base != parts[0] and len(whole) == 1:
                     single[c] = whole
+                elif base != parts[0]:
+                    joined[c] = whole
     single |= {chr(n): "" for n in range(0x80) if _is_invisible(chr(n))}
     return single, joined, bare
 
@@ -111,19 +119,35 @@ def skeleton(text: Column) -> Column:
     return F.when(text.rlike(PLAIN), text).otherwise(folded)
 
 
-def normal_form(text: str, single: dict[str, str]) -> str:
-    """Mapped text in composed normal form, with composed look-alikes resolved; what remains different is visible."""
-    return U.normalize("NFC", "".join(single.get(c, c) for c in U.normalize("NFD", text)))
-
-
-def _normal(text: Column) -> Column:
-    single = tables()[0]
+def _normalized(text: Column, form: str) -> Column:
+    """The text in a Unicode normal form; only texts with a combining mark leave the JVM."""
 
     @F.pandas_udf(T.StringType())
     def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: normal_form(t, single))
+        return texts.str.normalize(form)
+
+    marked = text.rlike(r"\p{M}")
+    return F.when(marked, normal(F.when(marked, text))).otherwise(text)
 
-    return normal(text)
+
+def shields(forms: DataFrame) -> dict[str, str]:
+    """The characters of ``forms`` that the collation equates with another or ignores though they are visible, each
+    with a private-use character of its own. There are no more rows here than characters in Unicode."""
+    groups = forms.sparkSession.sql(
+        r"""
+        WITH chars AS (
+          SELECT DISTINCT explode(regexp_extract_all(form, '[^\\x00-\\x7f]', 0)) AS c FROM {forms}
+          UNION SELECT explode(split(:ascii, '')) AS c)
+        SELECT collect_list(c) AS equal, collate(c, :collation) = '' AS ignored FROM chars GROUP BY collate(c, :collation)
+        """,
+        args={"ascii": "".join(map(chr, range(0x20, 0x7F))), "collation": COLLATION},
+        forms=forms,
+    ).collect()
+    present = {c for g in groups for c in g.equal}
+    apart = {c for g in groups if g.ignored or len({U.normalize("NFC", c) for c in g.equal}) > 1 for c in g.equal}
+    apart |= present & set(PREFIXED_VOWELS)
+    free = (chr(n) for n in range(0x100000, 0x10FFFE) if chr(n) not in present)
+    return dict(zip(sorted(c for c in apart if c >= "\x80"), free))
 
 
 def look_alikes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -141,27 +165,26 @@ def look_alikes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     many = bounded(materialize(many.where("a <> b or c <> d").select("s0", "s1"), "skeletons"), MAX_BROADCAST)
     first = hashes.join(many, ["s0", "s1"]).groupBy("s0", "s1", "t0", "t1").agg(F.min("id").alias("id"))
     first = bounded(materialize(first, "firsts"), MAX_BROADCAST)
-    texts = df.select(F.col(id_col).alias("id"), text.alias("_text")).join(first, "id")
-    forms = materialize(texts.withColumn("form", _normal(mapped(F.col("_text")))).drop("_text"), "forms")
-
-    classes = _collated(forms)
-    own = F.col("form") == F.col("canonical")
-    same = classes.withColumn("canonical", F.when(own, F.col("canonical")).otherwise(F.col("form")))
-    ids = same.groupBy("canonical").agg(F.min("id").alias("class_id"))
-    classes = same.join(ids, "canonical").select("s0", "s1", "t0", "t1", "class_id", "canonical")
-    return materialize(classes, "classes"), hashes
+    texts = df.select(F.col(id_col).alias("id"), mapped(text).alias("form")).join(first, "id")
+    # Marks in canonical order, as the collation expects them; composing them is left to it.
+    forms = materialize(texts.withColumn("form", _normalized(F.col("form"), "NFD")), "forms")
+    seen = _translate(F.col("form"), shields(forms))
+    return materialize(_collated(forms.withColumn("shielded", seen)), "classes"), hashes
 
 
 def _collated(forms: DataFrame) -> DataFrame:
-    return forms.sparkSession.sql(
+    """(s0, s1, t0, t1, class_id, canonical): the classes of the collation, each with its canonical member."""
+    classes = forms.sparkSession.sql(
         """
-        WITH members AS (SELECT *, collate(form, 'UNICODE') AS seen FROM {forms}),
+        WITH members AS (SELECT *, collate(shielded, :collation) AS seen FROM {forms}),
         canonical AS (
-          SELECT seen, min(struct(length(form), form)).form AS canonical FROM members GROUP BY seen)
-        SELECT m.id, m.s0, m.s1, m.t0, m.t1, m.form, c.canonical FROM members m JOIN canonical c ON m.seen = c.seen
+          SELECT seen, min(id) AS class_id, min(struct(length(form), form)).form AS canonical FROM members GROUP BY seen)
+        SELECT m.s0, m.s1, m.t0, m.t1, c.class_id, c.canonical FROM members m JOIN canonical c ON m.seen = c.seen
         """,
+        args={"collation": COLLATION},
         forms=forms,
     )
+    return classes.withColumn("canonical", _normalized(F.col("canonical"), "NFC"))
 
 
 def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,6 +211,5 @@ def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = alone.groupBy("s0", "s1", "t0", "t1").agg(F.min("id").alias("class_id"))
     singles = alone.join(firsts, ["s0", "s1", "t0", "t1"]).select("id", "class_id")
     texts = df.select(F.col(id_col).alias("id"), mapped(F.col(text_col)).alias("canonical"))
-    plain = texts.join(singles, "id").select("id", "class_id", "canonical")
-    needs = F.col("canonical").rlike(r"\p{M}")
-    return grouped.unionByName(plain.where(~needs)).unionByName(plain.where(needs).withColumn("canonical", _normal(F.col("canonical"))))
+    plain = texts.join(singles, "id").select("id", "class_id", _normalized(F.col("canonical"), "NFC").alias("canonical"))
+    return grouped.unionByName(plain)

@@ -1,5 +1,21 @@
 """SQL for the training-data queries whose result plain SQL states on whole tables."""
 
+import unicodedata as U
+
+from tidegate.llm.lookalike import ARMENIAN, CYRILLIC, GREEK
+
+# Problem 8 in SQL: classes of characters by regular expression, letters by the same fixed tables, accents by NFC.
+_LOOKS = dict(zip(CYRILLIC[0] + GREEK[0] + ARMENIAN[0], CYRILLIC[1] + GREEK[1] + ARMENIAN[1]))
+_ACCENTED = {c: U.normalize("NFC", _LOOKS[d[0]] + d[1:]) for n in range(0x370, 0x530) for c in [chr(n)] for d in [U.normalize("NFD", c)] if len(d) > 1 and d[0] in _LOOKS}
+_ACCENTED = {c: v for c, v in _ACCENTED.items() if len(v) == 1}
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94))
+_FORM = r"regexp_replace(regexp_replace(text, '[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{034F}\x{115F}\x{1160}\x{3164}\x{17B4}\x{17B5}\x{180B}-\x{180F}\p{Cf}\x00-\x08\x0E-\x1F\x7F-\x84\x86-\x9F]', '', 'g'), '\p{Zs}', ' ', 'g')"
+for _a, _b in ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ĳ", "ij"), ("Ĳ", "IJ"):
+    _FORM = f"replace({_FORM}, '{_a}', '{_b}')"
+for _a, _b in _WIDE, ("".join(_LOOKS), "".join(_LOOKS.values())), ("".join(_ACCENTED), "".join(_ACCENTED.values())):
+    _FORM = "translate({}, '{}', '{}')".format(_FORM, _a, _b.replace("'", "''"))
+_LIKE = f"forms AS (SELECT doc_id, text, nfc_normalize({_FORM}) AS form FROM documents WHERE length(text) > 0)"
+
 _FINITE = " AND ".join(
     f"{f} IS NOT NULL AND isfinite({f})"
     for f in (
@@ -67,5 +83,8 @@ SQL = {
           greatest(min_rows, (sample_size * target_ppm + 999999) // 1000000) AS needed FROM sample_targets)
         SELECT w.plan_id, w.g AS grp_slug FROM want w LEFT JOIN have h ON w.population = h.population AND w.g = h.g
         WHERE coalesce(h.n, 0) < w.needed""",
+    "p8_found": f"""WITH {_LIKE} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM forms a JOIN forms b
+        ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p8_canonical": f"WITH {_LIKE} SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY form) AS class_id, form AS canonical FROM forms",
     "p6_found": "SELECT b.bin_kind, d.doc_id FROM documents d, pack_bins b WHERE strlen(d.text) > 0 AND strlen(d.text) + 1 > b.capacity",
 }
