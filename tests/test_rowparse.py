@@ -1,12 +1,13 @@
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from oracle import compare
 from tidegate.operators.rowparse import (
-    RecordFormat, edit_costs, field_values, outside_delimiters, parse_records, quoting_holds, scan_result,
+    RecordFormat, _least, edit_costs, field_values, outside_delimiters, parse_records, quoting_holds, scan_result,
 )
 from tidegate.plans import records
 
@@ -46,6 +47,15 @@ def test_least_edits_against_search():
         assert qi + qd == quote_edits(line), line
 
 
+def test_edits_beyond_two_to_the_21():
+    """Millions of edits in one line are counted, not only the first 2^21."""
+    assert edit_costs(["," * 2_097_300], 14).tolist() == [[0, 0, 0, 2_097_300 - 13]]
+    n = 70_000  # every quote after text is deleted; one more than 2^16 of each kind of edit
+    assert edit_costs(['a"' * n + "," * n], 3).tolist() == [[0, n, 0, n - 2]]
+    a, b = _least((np.array([1 << 40]), np.array([5])), (np.array([1 << 40]), np.array([4])))
+    assert (a[0], b[0]) == (1 << 40, 4)
+
+
 def test_quoting_and_fields_in_the_jvm(spark):
     lines = ["", "a", '""', '"a"', '"a""b",c', 'a"b', '"a', '"a"x', ',"",', '"a,b",c', '"\n",x', '"""a"', '"\x01\x02,",\x01', ',,', '"a","b"', "é" * 5000 + ',"' + '""' * 5000 + '"']
     df = spark.createDataFrame([(x,) for x in lines], "s string")
@@ -80,14 +90,15 @@ def test_reasons(spark, change, reason, column):
 
 
 def test_loads_and_separates(spark):
-    lines = [OK, OK, None, "", OK + ",more", OK + '"', '1,2025-01-02 03:04:05," +1.5E1 ","T-C P","a ""b"",\nc"', "x,y,z,w,v", "9" * 30 + OK[1:]]
+    lines = [OK, OK, None, "", OK + ",more", OK + '"', '1,2025-01-02 03:04:05," +1.5E1 ","T-C P","a ""b"",\nc"', "x,y,z,w,v", "9" * 30 + OK[1:], "000" + "7" * 41 + OK[1:], "0" * 60 + "7" + OK[1:]]
     found, got = failures(spark, lines)
     assert found == [(2, "column_count", ""), (3, "column_count", ""), (4, "column_count", ""), (5, "quoting", ""),
                      (7, "invalid", "lab"), (7, "invalid", "n"), (7, "invalid", "t"), (7, "invalid", "x")]
     loaded = {r.raw_id: r for r in got.loaded.collect()}
-    assert sorted(loaded) == [0, 1, 6, 8]
+    assert sorted(loaded) == [0, 1, 6, 8, 9, 10]
     assert loaded[6].x == 15.0 and loaded[6].note == 'a "b",\nc' and str(loaded[6].t) == "2025-01-02 03:04:05"
-    assert loaded[8].n is None  # digits, but beyond a long
+    assert loaded[8].n == int("9" * 30) and loaded[8].n_digits is None and loaded[6].n == 1  # beyond a long
+    assert loaded[9].n is None and loaded[9].n_digits == "0" * 3 + "7" * 41 and loaded[10].n == 7 and loaded[10].n_digits is None
     edits = {r.raw_id: r.edits for r in got.failures.collect()}
     assert edits[4] == "quotes +0 -0, delimiters +0 -1" and edits[5] == "quotes +0 -1, delimiters +0 -0"
 
@@ -105,7 +116,7 @@ def test_scan_result(spark):
     lines = [("f", OK), ("f", OK.replace("1.5", "nan")), ("f", OK.replace("1.5", "inf")), (None, OK.replace("1.5", "")), ("f", '"')]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(lines)], "raw_id long, file_path string, raw_line string")
     got = parse_records(df, FMT, spark.createDataFrame([("tcp",)], "slug string"))
-    res = {r.file_path: r for r in scan_result(df, got.failures).collect()}
+    res = {r.file_path: r for r in scan_result(got).collect()}
     assert (res["f"].n_rows, res["f"].n_bad, res["f"].n_failed) == (4, 2, 3)
     assert res["f"].nan_by_column == {"x": 1} and res["f"].inf_by_column == {"x": 1}
     assert res[None].nan_by_column == {"x": 1} and res[None].inf_by_column == {}

@@ -32,8 +32,7 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_scan_result(spark: SparkSession, d: str) -> DataFrame:
     """Per file and column the NaN and infinite fields, long form of the maps of ``scan_result``."""
-    found = parsed(spark, d)
-    per_file = scan_result(read_table(spark, d, "raw_rows"), found.failures)
+    per_file = scan_result(parsed(spark, d))
     long = [
         per_file.select("file_path", F.lit(kind).alias("kind"), F.explode(f"{kind}_by_column").alias("column_name", "n_fields"))
         for kind in ("nan", "inf")
