@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.llm.leakage import aligned, decide, leaks, tiles, words
+from tidegate.llm.leakage import in_order, judged, leaks, tiles, words
 
 RNG = random.Random(11)
 VOCAB = [a + b for a in ("ka", "lo", "mi", "nu", "re", "so") for b in ("dan", "fel", "gor", "hit", "jun", "kep", "lum")]
@@ -14,10 +14,10 @@ def other(n):
     return [f"{RNG.choice(VOCAB)}x{RNG.randrange(999)}" for _ in range(n)]
 
 
-def run(spark, texts, passages):
+def run(spark, texts, passages, where="in_order"):
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, passage string")
     items = spark.createDataFrame([(i, p, "c") for i, p in enumerate(passages)], "item_id long, passage string, text string")
-    return sorted((r.item_id, r.doc_id) for r in leaks(docs, items).collect())
+    return sorted((r.item_id, r.doc_id) for r in leaks(docs, items).where(where).collect())
 
 
 def changed(ws, at):
@@ -32,25 +32,72 @@ CASES = [
 ]
 
 
+def aligned(a, b, least=20, one_in=10):
+    """Brute force: words of the longest piece of a that some stretch of b holds within the edits."""
+    least, best = min(least, len(a)), 0
+    for p in range(len(a) - least + 1):
+        row = [0] * (len(b) + 1)
+        for i, w in enumerate(a[p:], 1):
+            left, row[0] = row[0], i
+            for j, v in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (w != v))
+            if i >= least and min(row) * one_in <= i:
+                best = max(best, i)
+    return best
+
+
 @pytest.mark.parametrize("piece,holds", CASES)
 def test_pieces(piece, holds):
     text = other(50) + piece + other(30)
-    assert (decide(PASSAGE, text)[0] > 0) == holds == (aligned(PASSAGE, text) > 0)
+    assert (judged(PASSAGE, text)[1] > 0) == holds == (aligned(PASSAGE, text) > 0)
     # a second, shorter quotation elsewhere takes nothing away
-    assert (decide(PASSAGE, other(3) + PASSAGE[:9] + text)[0] > 0) == holds
-    assert (decide(PASSAGE, text + PASSAGE[30:38] + other(2) + PASSAGE[16:24])[0] > 0) == holds
+    assert (judged(PASSAGE, other(3) + PASSAGE[:9] + text)[1] > 0) == holds
+    assert (judged(PASSAGE, text + PASSAGE[30:38] + other(2) + PASSAGE[16:24])[1] > 0) == holds
 
 
-def test_tiles_and_alignment_agree():
+@pytest.mark.parametrize("vocabulary", [40, 6])
+def test_tiles_and_alignment_agree(vocabulary):
+    """Pieces with random edits, of a passage of different words and of one that repeats few words."""
     rng = random.Random(4)
+    passage = PASSAGE if vocabulary == 40 else [rng.choice(PASSAGE[:vocabulary]) for _ in range(40)]
     for _ in range(150):
-        piece = list(PASSAGE[rng.randrange(15) :][: rng.randrange(16, 40)])
+        piece = list(passage[rng.randrange(15) :][: rng.randrange(16, 40)])
         for _ in range(rng.randrange(6)):
             at = rng.randrange(len(piece))
             piece[at : at + rng.choice([0, 1])] = other(rng.choice([0, 1]))
         text = other(9) + piece + other(9)
-        n, exact = decide(PASSAGE, text)[0], aligned(PASSAGE, text)
-        assert (n > 0) == (exact > 0), piece
+        assert (judged(passage, text)[1] > 0) == (aligned(passage, text) > 0), piece
+
+
+def test_long_pieces_are_found_by_a_half():
+    rng = random.Random(9)
+    passage = other(120)
+    for _ in range(40):
+        piece = list(passage)
+        for at in rng.sample(range(120), rng.randrange(16)):
+            piece[at] = "changed"
+        assert (in_order(passage, piece) > 0) == (aligned(passage, piece) > 0), piece
+
+
+def test_coverage_catches_reordered_passages(spark):
+    """Whole, halves swapped, thirds in another order; and two covered thirds too few words."""
+    swapped, thirds = PASSAGE[20:] + other(5) + PASSAGE[:20], PASSAGE[12:22] + PASSAGE[:12] + PASSAGE[22:34]
+    texts = [" ".join(other(40) + t + other(20)) for t in (PASSAGE, swapped, PASSAGE[10:20] + PASSAGE[:10], thirds, PASSAGE[:6] + other(9) + PASSAGE[20:26])]
+    assert run(spark, texts, [" ".join(PASSAGE)], "true") == [(0, 0), (0, 1), (0, 2), (0, 3)]
+    assert run(spark, texts, [" ".join(PASSAGE)]) == [(0, 0), (0, 1)]
+    assert judged(PASSAGE, PASSAGE[10:20] + PASSAGE[:10]) == (20, 0)
+
+
+def test_a_threshold_on_the_coverage_decides(monkeypatch):
+    piece = PASSAGE[10:20] + PASSAGE[:10]
+    assert judged(PASSAGE, piece, cover=1.0)[0] == 20 and judged(PASSAGE, piece, cover=1.01) == (0, 0)
+
+
+def test_a_passage_across_blocks_and_far_apart(spark):
+    """Stretches are cut from the document around the seeds: at a block's edge, in several blocks, at either end."""
+    texts = [" ".join(other(k) + PASSAGE + other(10)) for k in (0, 216, 250, 256, 500)]
+    texts += [" ".join(PASSAGE + other(700) + PASSAGE), " ".join(PASSAGE[:12] + other(700) + PASSAGE[12:24])]
+    assert run(spark, texts, [" ".join(PASSAGE)]) == [(0, i) for i in range(6)]
 
 
 def test_the_join_finds_the_same(spark):
@@ -91,5 +138,10 @@ def test_nulls_empty_long(spark):
 
 
 def test_words(spark):
-    got = spark.createDataFrame([("A-b  c's 1,234.5 &amp; <i>x</i>y <br/>z!",)], "t string").select(words(F.col("t"))).first()[0]
-    assert got == "a b cs 12345 xy z"
+    def said(t):
+        return spark.createDataFrame([(t,)], "t string").select(words(F.col("t"))).first()[0]
+
+    assert said("A-b  c's 1,234.5 &amp; <i>x</i>y <br/>z!") == "a b cs 12345 xy z"
+    assert said("re&eacute;ntry &#233;t&#xE9; &frac12; &CounterClockwiseContourIntegral; caf\\u00e9 a\\nb") == "reentry ete ½ cafe a b"
+    assert said('x <a href="' + "q" * 5000 + '">y</a> <p ' + "w " * 3000 + ">z") == "x y z"
+    assert said("a < b and c > d") == "a b and c d" and said("&lt;p&gt;x&lt;/p&gt; AT&T") == "x at t"

@@ -2,15 +2,22 @@
 
 Texts become word sequences that case, punctuation, markup and disguised characters do not change. Passages and
 documents that share enough word seeds are compared by greedy string tiling: the longest common runs of words that
-are still unmarked are marked, again and again, found by running Karp-Rabin with a shrinking window. The tiles give
-the coverage of the passage in any order; a chain of tiles in order whose gaps need few enough edits decides.
+are still unmarked are marked, again and again, found by running Karp-Rabin with a shrinking window. What share of
+the passage the tiles cover decides, in whatever order they stand; whether the covered words also stand in order,
+with few enough edits, is a second test, whose result is reported beside the coverage.
 
 Seeds are five words. A window of L words with e changed keeps at least L - 4 - 5e of its seeds, so with at least 20
-words and one change in ten a true case shares six of them: the filter on the number of seeds loses nothing.
+words and one change in ten a true case shares six of them: the filter on the number of seeds loses nothing. Of its
+L - e unchanged words at most e stand alone, so tiles of two words and more cover L - 2e, four fifths of it; the
+threshold of 0.7 leaves room for tiles that greed placed otherwise.
+
+In order: a piece of L >= 20 words with e edits, 10 e <= L. If there is one of 40 words or more, one of its halves
+is another, so looking for pieces with at most three edits finds every case; that takes one pass over the passage,
+which keeps, for every place in the text and number of edits, the earliest start of a piece that ends there.
 
 Seeds of all documents are joined with those of the passages: the passages are a stated query set, sent to every
-executor as long as its seeds number at most ``MAX_SEEDS``, else joined by a shuffle. Whole texts are only read
-again for pairs with enough seeds.
+executor as long as its seeds number at most ``MAX_SEEDS``, else joined by a shuffle. Of documents with enough seeds
+only the stretches around them are compared; whole texts are neither shuffled nor sent to Python.
 
 Defined cases: null or empty texts and passages of fewer than five words match nothing; a passage listed twice is
 found under each id; a document that holds a passage twice is found once; empty tables give empty results.
@@ -18,27 +25,49 @@ found under each id; a document that holds a passage twice is found once; empty
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidegate.llm.lookalike import skeleton
 from tidegate.scratch import materialize
 from tidegate.sources.tables import bounded
 
 SEED = 5
+LEAST, ONE_IN = 20, 10  # words of a piece, and words per edit
+COVER = 0.7  # of the least piece that tiles must cover
+BLOCK = 256  # words of a document whose seeds are compared together
 MAX_SEEDS = 2_000_000
+MAX_PAIRS = 1_000_000  # pairs with enough seeds, and their passages, that are sent to every executor
 INLINE = "b|i|u|s|em|strong|span|a|code|mark|small|font|tt|sup|sub"
+ESCAPED = r"&#?[A-Za-z0-9]+;|\\u[0-9a-fA-F]{4}"
+
+
+def _unescaped(text: Column) -> Column:
+    """Character references of markup and of JSON decoded; only texts that have one leave the JVM."""
+
+    @F.pandas_udf(T.StringType())
+    def decode(texts: pd.Series) -> pd.Series:
+        code = re.compile(r"\\u([0-9a-fA-F]{4})")
+        lone = lambda m: c if not 0xD800 <= ord(c := chr(int(m[1], 16))) <= 0xDFFF else " "
+        return texts.map(lambda t: code.sub(lone, html.unescape(t)), na_action="ignore")
+
+    has = text.rlike(ESCAPED)
+    return F.when(has, decode(F.when(has, text))).otherwise(text)
 
 
 def words(text: Column) -> Column:
     """Lower-case words without accents, punctuation and markup, joined by single blanks."""
-    out = F.regexp_replace(F.lower(skeleton(text)), rf"</?(?:{INLINE})(?:\s[^<>]*)?>", "")
-    out = F.regexp_replace(out, r"</?[a-z!][^<>]{0,500}>|&[a-z]{2,8};|&#[0-9]{1,6};|\\[nrt]", " ")
+    out = F.lower(skeleton(_unescaped(text)))
+    plain = F.regexp_replace(out, rf"</?(?:{INLINE})(?:\s[^<>]*+)?>", "")
+    plain = F.regexp_replace(plain, r"</?[a-z!][^<>]*+>", " ")
+    out = F.when(F.contains(out, F.lit("<")), plain).otherwise(out)
     out = F.regexp_replace(out, r"(?<=[0-9])[.,](?=[0-9])|['’`´]", "")
-    return F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return F.btrim(F.regexp_replace(out, r"(?:\\[nrt]|[^\p{L}\p{N}])+", " "))
 
 
 def seeds(spoken: Column) -> Column:
@@ -111,106 +140,81 @@ def tiles(a: list[str], b: list[str], least: int = 2, start: int = 16) -> list[t
         s = max(least, s // 2)
 
 
-def _edits(a: list[str], b: list[str], most: int) -> int:
-    """Words to change, drop or add between two gaps, or ``most + 1`` if more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return min(row[-1], most + 1)
-
-
-def leaked(a: list[str], b: list[str], least: int = 20, one_in: int = 10) -> tuple[int, float]:
-    """(words of the longest piece of passage ``a`` that ``b`` holds in order within the edits, covered share of a)."""
-    least = min(least, len(a))
-    cover = tiles(a, b)
-    parts = sorted(cover)
-    best = 0
-    for i, (p, d, n) in enumerate(parts):
-        chain = [(p + n, d + n, 0)]  # ends reached from this tile: (in a, in b, edits)
-        for q, e, m in parts[i:]:
-            if q > p:
-                options = [
-                    (edits + _edits(a[pe:q], b[de:e], len(a) // one_in - edits))
-                    for pe, de, edits in chain
-                    if pe <= q and de <= e and edits <= len(a) // one_in and q - pe <= len(a) // one_in
-                ]
-                if not options or min(options) > len(a) // one_in:
-                    continue
-                chain.append((q + m, e + m, min(options)))
-            end, _, edits = chain[-1]
-            span = end - p
-            if span + len(a) // one_in >= least:
-                length = max(span, least)
-                if (edits + length - span) * one_in <= length:
-                    best = max(best, length)
-    return best, sum(k for _, _, k in cover) / max(1, len(a))
-
-
-def aligned(a: list[str], b: list[str], least: int = 20, one_in: int = 10) -> int:
-    """Exact form of the decision: words of the longest piece of ``a`` that some stretch of ``b`` holds within the
-    edits, by edit distance to any stretch; for pairs whose tiles took a passage's words at several places."""
+def in_order(a: list[str], b: list[str], least: int = LEAST, one_in: int = ONE_IN) -> int:
+    """Words of passage ``a`` that lie in pieces which ``b`` holds in order: pieces of at least ``least`` words (the
+    whole passage, if shorter) with at most one word in ``one_in`` changed, dropped or added, and at most three."""
     least = min(least, len(a))
+    most = min(3, len(a) // one_in)
     number = {w: i for i, w in enumerate(dict.fromkeys(a))}
-    x = [number[w] for w in a]
-    y = np.array([number.get(w, -1) for w in b])
-    ramp, best = np.arange(len(y) + 1), 0
-    for p in range(len(x) - least + 1):
-        row = np.zeros(len(y) + 1, dtype=np.int64)
-        for i, w in enumerate(x[p:], 1):
-            new = np.empty_like(row)
-            new[0] = i
-            new[1:] = np.minimum(row[:-1] + (y != w), row[1:] + 1)
-            row = np.minimum.accumulate(new - ramp) + ramp
-            edits = int(row.min())
-            if i >= least and edits * one_in <= i:
-                best = max(best, i)
-            if edits > len(a) // one_in:
-                break
-    return best
-
-
-def regions(a: list[str], b: list[str]) -> list[list[str]]:
-    """Stretches of b around the seeds it shares with a, wide enough for any piece of a."""
-    own = {tuple(a[i : i + SEED]) for i in range(len(a) - SEED + 1)}
-    margin, out = len(a) + len(a) // 10, []
-    for j in (j for j in range(len(b) - SEED + 1) if tuple(b[j : j + SEED]) in own):
-        low, high = max(0, j - margin), j + SEED + margin
-        if out and low <= out[-1][1]:
-            out[-1][1] = high
-        else:
-            out.append([low, high])
-    return [b[low:high] for low, high in out]
-
-
-def decide(a: list[str], b: list[str]) -> tuple[int, float]:
-    """Tiles first; where no chain of them decides for a leak, the exact alignment of the stretches that share seeds."""
-    n, cover = leaked(a, b)
-    return (n or max((aligned(a, part) for part in regions(a, b)), default=0)), cover
+    y = np.array([number.get(w, -1) for w in b], dtype=np.int64)
+    start = np.zeros((most + 1, len(y) + 1), dtype=np.int64)  # by edits and place in b: where the piece began
+    inside = np.zeros(len(a), dtype=bool)
+    never = len(a) + 1
+    for i, w in enumerate(a, 1):
+        same = y == number[w]
+        new = np.full_like(start, i)
+        np.minimum(new[:, 1:], np.where(same, start[:, :-1], never), out=new[:, 1:])
+        for e in range(1, most + 1):
+            np.minimum(new[e], start[e - 1], out=new[e])  # dropped
+            np.minimum(new[e, 1:], start[e - 1, :-1], out=new[e, 1:])  # changed
+            np.minimum(new[e, 1:], new[e - 1, :-1], out=new[e, 1:])  # added
+        start = new
+        spans = i - start.min(axis=1)
+        fit = spans[(spans >= least) & (np.arange(most + 1) * one_in <= spans)]
+        if len(fit):
+            inside[i - int(fit.max()) : i] = True
+    return int(inside.sum())
+
+
+def judged(a: list[str], b: list[str], cover: float = COVER) -> tuple[int, int]:
+    """(words of ``a`` that tiles cover, words of it in order); both 0 where the coverage is below the threshold."""
+    covered = sum(n for _, _, n in tiles(a, b))
+    if covered < cover * min(LEAST, len(a)):
+        return 0, 0
+    return covered, in_order(a, b)
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        got = [decide(p.split(" "), t.split(" ")) for p, t in zip(pdf["passage"], pdf["text"])]
-        out = pdf[["item_id", "doc_id"]].assign(n_words=[int(n) for n, _ in got], coverage=[float(c) for _, c in got])
-        yield out[out["n_words"] > 0]
+        got = [judged(p.split(" "), t.split(" ")) for p, t in zip(pdf["passage"], pdf["stretch"])]
+        out = pdf[["item_id", "doc_id"]].assign(
+            covered=[n for n, _ in got], n_words=[n for _, n in got], coverage=[n / len(p.split(" ")) for (n, _), p in zip(got, pdf["passage"])]
+        )
+        yield out[out["covered"] > 0]
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, doc_id, n_words, coverage): documents that hold a passage or at least 20 successive words of it."""
-    passages = items.where("item_id is not null").select("item_id", words(F.col("passage")).alias("passage"))
-    passages = materialize(passages.where("passage <> ''"), "passages")
+def shared_seeds(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, item_id, blocks): pairs that share enough seeds, and the blocks of the document where they stand."""
     n = F.size(F.split("passage", " "))
     enough = F.when(n >= 20, 6).otherwise(F.greatest(F.lit(1), n - 4 - 5 * F.floor(n / 10)))
     needles = passages.select("item_id", enough.alias("enough"), F.posexplode(seeds(F.col("passage"))).alias("place", "seed"))
+    hay = documents.where(F.length("text") > 0).select("doc_id", F.posexplode(seeds(words(F.col("text")))).alias("at", "seed"))
+    hits = hay.join(bounded(needles, MAX_SEEDS), "seed").groupBy("doc_id", "item_id", "enough", "place").agg(
+        F.collect_set(F.floor(F.col("at") / BLOCK).cast("int")).alias("blocks")
+    )
+    pairs = hits.groupBy("doc_id", "item_id", "enough").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    return pairs.where("n >= enough").select("doc_id", "item_id", "blocks")
 
-    texts = documents.where(F.length("text") > 0)
-    hay = texts.select("doc_id", F.explode(seeds(words(F.col("text")))).alias("seed"))
-    shared = hay.join(bounded(needles, MAX_SEEDS), "seed").groupBy("doc_id", "item_id", "enough").agg(F.count_distinct("place").alias("n"))
-    pairs = materialize(shared.where("n >= enough").select("doc_id", "item_id"), "pairs")
 
-    both = pairs.join(texts.select("doc_id", words(F.col("text")).alias("text")), "doc_id").join(passages, "item_id")
-    return both.select("item_id", "doc_id", "passage", "text").mapInPandas(_judge, "item_id long, doc_id long, n_words long, coverage double")
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, covered, coverage, n_words, in_order): documents whose tiles cover enough of a passage.
+
+    ``covered`` words stand in tiles, ``n_words`` of the passage in pieces that also keep its order."""
+    passages = items.where("item_id is not null").select("item_id", words(F.col("passage")).alias("passage"))
+    passages = materialize(passages.where("passage <> ''"), "passages")
+    pairs = materialize(shared_seeds(documents, passages), "pairs")
+    wanted = bounded(pairs.join(passages, "item_id"), MAX_PAIRS)
+    texts = documents.where(F.length("text") > 0).select("doc_id", "text").join(wanted, "doc_id")
+
+    # A piece has at most 11 words for 10 of the passage, so one that has a seed in the block lies in the stretch.
+    spoken = texts.select("doc_id", "item_id", "passage", "blocks", F.split(words(F.col("text")), " ").alias("_words"))
+    margin = F.ceil(F.size(F.split("passage", " ")) * 1.1).cast("int")
+
+    def stretch(block: Column) -> Column:
+        low = F.greatest(block * BLOCK - margin, F.lit(0))
+        return F.array_join(F.slice("_words", low + 1, (block + 1) * BLOCK + SEED + margin - low), " ")
+
+    parts = spoken.select("item_id", "doc_id", "passage", F.explode(F.transform("blocks", stretch)).alias("stretch"))
+    found = parts.mapInPandas(_judge, f"item_id {dict(items.dtypes)['item_id']}, doc_id {dict(documents.dtypes)['doc_id']}, covered long, n_words long, coverage double")
+    best = found.groupBy("item_id", "doc_id").agg(F.max("covered").alias("covered"), F.max("coverage").alias("coverage"), F.max("n_words").alias("n_words"))
+    return best.withColumn("in_order", F.col("n_words") > 0)

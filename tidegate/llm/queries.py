@@ -133,14 +133,19 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_leaks(spark, d).select("item_id", "doc_id")
+    return p7_leaks(spark, d).where("in_order").select("item_id", "doc_id")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """Leaked items: documents that hold them and the longest piece found."""
-    return p7_leaks(spark, d).groupBy("item_id").agg(
-        F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("n_words"), F.max("coverage").alias("coverage")
-    )
+    """Leaked items: documents that hold them in order, and most words of the passage in one of them."""
+    held = p7_leaks(spark, d).where("in_order")
+    return held.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("n_words"))
+
+
+def p7_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that tiles cover enough, by whether they keep the order too, and how much of the passage is covered."""
+    found = p7_leaks(spark, d)
+    return found.groupBy("in_order").agg(F.count(F.lit(1)).alias("n_pairs"), F.min("covered").alias("least_covered"), F.avg("coverage").alias("coverage"))
 
 
 # 8: look-alikes -------------------------------------------------------------------------------------------------
