@@ -16,6 +16,47 @@ for _a, _b in _WIDE, ("".join(_LOOKS), "".join(_LOOKS.values())), ("".join(_ACCE
     _FORM = "translate({}, '{}', '{}')".format(_FORM, _a, _b.replace("'", "''"))
 _LIKE = f"forms AS (SELECT doc_id, text, nfc_normalize({_FORM}) AS form FROM documents WHERE length(text) > 0)"
 
+# Problem 7 in SQL: the same normalisation by regular expressions, pairs that share any five words, and per pair the
+# table of the earliest starts of pieces with up to three edits, one row of it per step of the recursion.
+_TAGS = r"</?(?:b|i|u|s|em|strong|span|a|code|mark|small|font|tt|sup|sub)(?:\s[^<>]*)?>"
+
+
+def _words(column: str) -> str:
+    out = column
+    for a, b in ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"):
+        out = f"replace({out}, '{a}', '{b}')"
+    out = f"lower(strip_accents({_FORM.replace('(text,', f'({out},')}))"
+    for a, b in (_TAGS, ""), ("</?[a-z!][^<>]*>", " "), ("([0-9])[.,]([0-9])", r"\1\2"), ("([0-9])[.,]([0-9])", r"\1\2"), ("[''’`´]", ""), (r"(?:\\[nrt]|[^\p{L}\p{N}])+", " "):
+        out = f"regexp_replace({out}, '{a}', '{b}', 'g')"
+    return f"string_split(trim({out}), ' ')"
+
+
+def _starts(e: int) -> str:
+    same = f"CASE WHEN b[j - 1] = a[k] THEN s{e}[j - 1] ELSE k END"
+    if not e:
+        return f"list_transform(range(1, len(b) + 2), lambda j: CASE WHEN j > 1 THEN {same} ELSE k END)"
+    return f"list_transform(range(1, len(b) + 2), lambda j: CASE WHEN j > 1 THEN least(s{e - 1}[j], s{e - 1}[j - 1], n{e - 1}[j - 1], {same}) ELSE least(k, s{e - 1}[j]) END)"
+
+
+_STEP = "(SELECT *, i + 1 AS k FROM dp WHERE i < len(a))"
+for _e in range(4):
+    _STEP = f"(SELECT *, {_starts(_e)} AS n{_e} FROM {_STEP})"
+_LEAKED = f"""WITH RECURSIVE
+dw AS (SELECT doc_id, {_words('text')} AS b FROM documents WHERE length(text) > 0),
+iw AS (SELECT item_id, {_words('passage')} AS a FROM eval_items WHERE length(passage) > 0),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(b) - 3), lambda p: {{'p': p, 'g': array_to_string(b[p:p + 4], ' ')}}), recursive := true) FROM dw),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(a) - 3), lambda p: array_to_string(a[p:p + 4], ' '))) AS g FROM iw),
+near AS (SELECT item_id, doc_id, min(p) AS lo, max(p) AS hi FROM dg JOIN ig ON dg.g = ig.g GROUP BY ALL),
+dp AS (
+  SELECT item_id, doc_id, a, b, 0::BIGINT AS i, z AS s0, z AS s1, z AS s2, z AS s3 FROM (
+    SELECT item_id, doc_id, a, b[greatest(1, lo - 2 * len(a)):hi + 2 * len(a)] AS b, list_transform(range(0, len(b) + 1), lambda j: 0::BIGINT) AS z
+    FROM near JOIN iw USING (item_id) JOIN dw USING (doc_id))
+  UNION ALL SELECT item_id, doc_id, a, b, k, n0, n1, n2, n3 FROM {_STEP}),
+ends AS (SELECT item_id, doc_id, len(a) AS n, i, unnest([{{'e': 0, 's': list_min(s0)}}, {{'e': 1, 's': list_min(s1)}}, {{'e': 2, 's': list_min(s2)}}, {{'e': 3, 's': list_min(s3)}}], recursive := true) FROM dp),
+pieces AS (SELECT item_id, doc_id, i, min(s) AS s FROM ends WHERE i - s >= least(20, n) AND 10 * e <= i - s GROUP BY ALL),
+leaked AS (SELECT item_id, doc_id, count(DISTINCT w) AS n_words FROM (SELECT item_id, doc_id, unnest(range(s, i)) AS w FROM pieces) GROUP BY ALL)
+"""
+
 _FINITE = " AND ".join(
     f"{f} IS NOT NULL AND isfinite({f})"
     for f in (
@@ -83,6 +124,8 @@ SQL = {
           greatest(min_rows, (sample_size * target_ppm + 999999) // 1000000) AS needed FROM sample_targets)
         SELECT w.plan_id, w.g AS grp_slug FROM want w LEFT JOIN have h ON w.population = h.population AND w.g = h.g
         WHERE coalesce(h.n, 0) < w.needed""",
+    "p7_found": f"{_LEAKED} SELECT item_id, doc_id FROM leaked",
+    "p7_items": f"{_LEAKED} SELECT item_id, count(*) AS n_documents, max(n_words) AS n_words FROM leaked GROUP BY item_id",
     "p8_found": f"""WITH {_LIKE} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM forms a JOIN forms b
         ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p8_canonical": f"WITH {_LIKE} SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY form) AS class_id, form AS canonical FROM forms",
