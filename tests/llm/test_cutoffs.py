@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegate.llm.cutoffs import cutoffs
 
@@ -74,3 +75,25 @@ def test_empty(spark):
     got = run(spark, [], [("a", None, 5, 0)])
     assert got.kept().count() == 0 and got.report.count() == 0
     assert run(spark, [("a", 1, "s", 0.5, times(0))], []).kept().count() == 0
+
+
+def test_saturated_scores_fill_no_interval(spark):
+    """A million distinct scores below 2^-40, down to the smallest double: no window of a level is unbounded."""
+    from tidegate.llm.cutoffs import intervals
+
+    tiny = spark.range(1_000_000).select(F.pow(F.lit(10.0), -12.1 - F.col("id") * F.lit(311.0 / 1_000_000)).alias("s"))
+    cells = tiny.where("s > 0").withColumns(intervals(F.col("s")))
+    most = lambda *by: cells.groupBy(*by).agg(F.count_distinct("s").alias("n")).agg(F.max("n")).first()[0]
+    assert cells.select("b0").distinct().count() < 1100 and most("b0", "b1", "b2") <= 1 << 12
+    ends = [0.0, 5e-324, 1e-323, 2.0**-1022, 2.0**-41, 1 - 2.0**-53, 1.0, 0.5, 0.1, 2.0**-40 * (1 - 2.0**-53), 2.0**-40]
+    rows = spark.createDataFrame([(v,) for v in ends], "s double").withColumns(intervals(F.col("s"))).collect()
+    assert [r.s for r in sorted(rows, key=lambda r: (r.b0, r.b1, r.b2, r.s))] == sorted(ends)
+
+
+def test_cutoff_among_saturated_scores(spark):
+    rng = random.Random(5)
+    scores = [10 ** -rng.uniform(13, 300) for _ in range(3000)]
+    df = spark.createDataFrame([(i, "t", i, "d", p, None) for i, p in enumerate(scores)], "score_id long, target_name string, row_id long, source string, p_attack double, scored_at timestamp")
+    targets = spark.createDataFrame([("t", 0.5, 250_000)], "target_name string, threshold double, keep_ppm long")
+    want = set(sorted(range(3000), key=lambda i: -scores[i])[:750])
+    assert {r.score_id for r in cutoffs(df, targets).kept().collect()} == want

@@ -1,9 +1,8 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from tidegate.llm.leakage import in_order, judged, leaks, tiles, words
+from tidegate.llm.leakage import in_order, judged, leaks, tiles, with_words
 
 RNG = random.Random(11)
 VOCAB = [a + b for a in ("ka", "lo", "mi", "nu", "re", "so") for b in ("dan", "fel", "gor", "hit", "jun", "kep", "lum")]
@@ -139,7 +138,7 @@ def test_nulls_empty_long(spark):
 
 def test_words(spark):
     def said(t):
-        return spark.createDataFrame([(t,)], "t string").select(words(F.col("t"))).first()[0]
+        return spark.createDataFrame([(t,)], "t string").transform(with_words, "t", "w").select("w").first()[0]
 
     assert said("A-b  c's 1,234.5 &amp; <i>x</i>y <br/>z!") == "a b cs 12345 xy z"
     assert said("re&eacute;ntry &#233;t&#xE9; &frac12; &CounterClockwiseContourIntegral; caf\\u00e9 a\\nb") == "reentry ete ½ cafe a b"

@@ -1,3 +1,4 @@
+import math
 import random
 
 from tidegate.llm.overlap import cross_split_overlap, overlap_report
@@ -49,6 +50,38 @@ def test_copies_signs_and_zeros(spark):
     assert sorted((r.split, r.side, r.n_rows, r.n_exact, r.n_almost) for r in report.collect()) == [("val", "s", 1, 1, 0), ("val", "t", 1, 1, 0)]
 
 
+def test_dense_cells_are_cut_again(spark, monkeypatch):
+    """Very many distinct vectors of one cell: all pairs are found and few are compared."""
+    from tidegate.llm import overlap as o
+
+    monkeypatch.setattr(o, "DENSE", 500)
+    compared = []
+    monkeypatch.setattr(o, "materialize", lambda df, name, real=o.materialize: (compared.append((name, out := real(df, name))), out)[1])
+    rng = random.Random(2)
+    near = lambda v: v * (1 + rng.uniform(0, 0.05))
+    rows = [(i, rng.choice(["train", "test"]), "s", near(1.02), near(30.0), 7.0) for i in range(3000)]
+    rows += [(3000 + i, rng.choice(["train", "test"]), "s", 1.02 * 10**i, 1.0, 1.0) for i in range(20)]
+    got, _ = pairs(spark, rows)
+    assert got == brute(rows) and len(got) > 100
+    n_train = sum(r[1] == "train" for r in rows)
+    made = [df for name, df in compared if name == "candidates"][-1].count()
+    assert len(got) <= made < n_train * (3000 - n_train) / 50
+    same = [(i, "train" if i % 2 else "val", "s", 5.0, 5.0 * (1 + 1e-7 * i), 5.0) for i in range(400)]  # no cut helps: all pairs are true
+    assert pairs(spark, same)[0] == brute(same)
+
+
+def test_rows_near_many_edges(spark, monkeypatch):
+    from tidegate.llm import overlap as o
+
+    monkeypatch.setattr(o, "MAX_PROBES", 2)
+    rng = random.Random(3)
+    edge = lambda k: math.exp((k - o.SHIFT) * o.STEP)
+    bases = [[edge(rng.randrange(9)) if rng.random() < 0.7 else rng.uniform(1, 9) for _ in FEATURES] for _ in range(40)]
+    rows = [(i, rng.choice(["train", "val"]), "s", *(v * (1 + rng.uniform(-0.0008, 0.0008)) for v in rng.choice(bases))) for i in range(900)]
+    got, _ = pairs(spark, rows)
+    assert got == brute(rows) and len(got) > 500
+
+
 def test_empty(spark):
     assert pairs(spark, [])[0] == []
     assert pairs(spark, [(1, "train", "s", 1.0, 1.0, 1.0)])[0] == []

@@ -1,9 +1,10 @@
 """Score cutoffs that keep a target share of every source's records.
 
 Scores are first reduced to compact frequencies (distinct score, count) per target and source. The cutoff is where
-their descending cumulative sum would pass the allowed number. A source may hold any share of all rows, so the sum
-never runs over a whole source at once: it descends through two levels of 2^20 score intervals, each a bounded
-window, and only then over the distinct scores of one interval of width 2^-40.
+their descending cumulative sum would pass the allowed number. A source may hold any share of all rows and its scores
+any part of [0, 1], so the sum never runs over a whole source at once: it descends through the parts of a double, the
+power of two (about 1,100), then twice 20 bits of the fraction, each a bounded window, and only then over the
+distinct scores of one interval, of which there are at most 2^12.
 
 Defined cases: of several rows of one (target, record) the latest counts, on equal times the one with the greatest
 id; null times come first. A score that is null, NaN or outside [0, 1] and a null source are left out. Equal scores
@@ -20,7 +21,7 @@ from tidegate.scratch import materialize
 from tidegate.sources.tables import bounded
 
 GROUP = ["target_name", "source"]
-FINE = 1 << 20
+FINE = 1 << 20  # intervals of a level
 MAX_BROADCAST = 200_000  # rows of the cutoff table that are sent to every executor
 
 
@@ -49,12 +50,16 @@ def latest_scores(df: DataFrame) -> DataFrame:
     )
 
 
-def _interval(score: Column, level: int) -> Column:
-    """Interval number of a score at a level; scaling by powers of two and taking fractions are exact."""
-    if level == 1:
-        return F.floor(score * FINE)
-    scaled = score * FINE
-    return F.floor((scaled - F.floor(scaled)) * FINE)
+def intervals(score: Column) -> dict[str, Column]:
+    """b0, b1, b2: power of two of a score and 20 + 20 bits of its fraction; (b0, b1, b2, score) orders like score.
+
+    Only monotony matters: where the logarithm of a score just below a power of two is rounded up, its fraction is
+    below 1, and it still stands before the others of that power. Scaling by powers of two is exact."""
+    power = F.when(score > 0, F.floor(F.log2(score))).otherwise(F.lit(-(1 << 20)))
+    half = F.floor(power / 2)
+    two = F.lit(2.0)
+    scaled = F.when(score > 0, score * F.pow(two, -half) * F.pow(two, half - power)).otherwise(F.lit(0.0)) * FINE
+    return {"b0": power.cast("int"), "b1": F.floor(scaled), "b2": F.floor((scaled - F.floor(scaled)) * FINE)}
 
 
 def _crossing(freq: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,7 +74,7 @@ def cutoffs(scores: DataFrame, targets: DataFrame) -> Cutoffs:
     """Cutoffs of every target and source; ``targets`` has ``target_name``, ``keep_ppm`` and ``threshold``."""
     rows = materialize(latest_scores(scores), "scores")
     freq = rows.groupBy(*GROUP, "score").agg(F.count(F.lit(1)).alias("n"))
-    freq = freq.withColumn("b1", _interval(F.col("score"), 1)).withColumn("b2", _interval(F.col("score"), 2))
+    freq = freq.withColumns(intervals(F.col("score")))
     freq = materialize(freq, "frequencies")
 
     plan = targets.where("target_name is not null").select("target_name", "keep_ppm", F.col("threshold").alias("earlier"))
@@ -81,14 +86,13 @@ def cutoffs(scores: DataFrame, targets: DataFrame) -> Cutoffs:
     )
     sizes = materialize(sizes, "sizes")
 
-    start = sizes.select(*GROUP, "may_keep", F.lit(0).cast("long").alias("above"))
-    carried = [*GROUP, "may_keep", "above"]
-    level = freq.groupBy(*GROUP, "b1").agg(F.sum("n").alias("n")).join(start, GROUP).select(*carried, "b1", "n")
-    first = _crossing(level, [*GROUP, "b1"])
-    level = freq.groupBy(*GROUP, "b1", "b2").agg(F.sum("n").alias("n")).join(first, [*GROUP, "b1"]).select(*carried, "b1", "b2", "n")
-    second = _crossing(level, [*GROUP, "b2"])
-    level = freq.join(second, [*GROUP, "b1", "b2"]).select(*carried, "score", "n")
-    last = _crossing(level, [*GROUP, "score"]).select(*GROUP, F.col("score").alias("drop_at"))
+    levels = ["b0", "b1", "b2", "score"]
+    last = sizes.select(*GROUP, "may_keep", F.lit(0).cast("long").alias("above"))
+    for i, level in enumerate(levels):
+        counts = freq.groupBy(*GROUP, *levels[: i + 1]).agg(F.sum("n").alias("n"))
+        inside = counts.join(last, [*GROUP, *levels[:i]]).select(*GROUP, "may_keep", "above", *levels[: i + 1], "n")
+        last = _crossing(inside, [*GROUP, level])
+    last = last.select(*GROUP, F.col("score").alias("drop_at"))
     drops = materialize(sizes.join(last, GROUP, "left").select(*sizes.columns, "drop_at"), "cutoffs")
 
     kept = (

@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidegate.llm.lookalike import skeleton
+from tidegate.llm.lookalike import PLAIN, skeleton
 from tidegate.scratch import materialize
 from tidegate.sources.tables import bounded
 
@@ -60,14 +60,18 @@ def _unescaped(text: Column) -> Column:
     return F.when(has, decode(F.when(has, text))).otherwise(text)
 
 
-def words(text: Column) -> Column:
-    """Lower-case words without accents, punctuation and markup, joined by single blanks."""
-    out = F.lower(skeleton(_unescaped(text)))
-    plain = F.regexp_replace(out, rf"</?(?:{INLINE})(?:\s[^<>]*+)?>", "")
-    plain = F.regexp_replace(plain, r"</?[a-z!][^<>]*+>", " ")
-    out = F.when(F.contains(out, F.lit("<")), plain).otherwise(out)
-    out = F.regexp_replace(out, r"(?<=[0-9])[.,](?=[0-9])|['’`´]", "")
-    return F.btrim(F.regexp_replace(out, r"(?:\\[nrt]|[^\p{L}\p{N}])+", " "))
+def with_words(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Add ``out``: lower-case words without accents, punctuation and markup, joined by single blanks.
+
+    One column per step, so that a step that names the text twice does not compute the steps before it twice."""
+    c = F.col("_w")
+    df = df.withColumn("_w", _unescaped(F.col(text_col))).withColumn("_w", F.lower(skeleton(c)))
+    plain = F.regexp_replace(F.regexp_replace(c, rf"</?(?:{INLINE})(?:\s[^<>]*+)?>", ""), r"</?[a-z!][^<>]*+>", " ")
+    df = df.withColumn("_w", F.when(F.contains(c, F.lit("<")), plain).otherwise(c))
+    df = df.withColumn("_w", F.when(F.contains(c, F.lit("\\")), F.regexp_replace(c, r"\\[nrt]", " ")).otherwise(c))
+    df = df.withColumn("_w", F.regexp_replace(F.translate(c, "'’`´", ""), r"[.,](?<=[0-9][.,])(?=[0-9])", ""))
+    only = lambda kept: F.btrim(F.regexp_replace(c, f"[^{kept}]+", " "))
+    return df.withColumn(out, F.when(c.rlike(PLAIN), only("a-z0-9")).otherwise(only(r"\p{L}\p{N}"))).drop("_w")
 
 
 def seeds(spoken: Column) -> Column:
@@ -168,10 +172,11 @@ def in_order(a: list[str], b: list[str], least: int = LEAST, one_in: int = ONE_I
 
 def judged(a: list[str], b: list[str], cover: float = COVER) -> tuple[int, int]:
     """(words of ``a`` that tiles cover, words of it in order); both 0 where the coverage is below the threshold."""
-    covered = sum(n for _, _, n in tiles(a, b))
+    found = tiles(a, b)
+    covered = sum(n for _, _, n in found)
     if covered < cover * min(LEAST, len(a)):
         return 0, 0
-    return covered, in_order(a, b)
+    return covered, len(a) if found[0][2] == len(a) else in_order(a, b)  # one tile may be the whole passage
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,7 +193,8 @@ def shared_seeds(documents: DataFrame, passages: DataFrame) -> DataFrame:
     n = F.size(F.split("passage", " "))
     enough = F.when(n >= 20, 6).otherwise(F.greatest(F.lit(1), n - 4 - 5 * F.floor(n / 10)))
     needles = passages.select("item_id", enough.alias("enough"), F.posexplode(seeds(F.col("passage"))).alias("place", "seed"))
-    hay = documents.where(F.length("text") > 0).select("doc_id", F.posexplode(seeds(words(F.col("text")))).alias("at", "seed"))
+    hay = with_words(documents.where(F.length("text") > 0).select("doc_id", "text"), "text", "_spoken")
+    hay = hay.select("doc_id", F.posexplode(seeds(F.col("_spoken"))).alias("at", "seed"))
     hits = hay.join(bounded(needles, MAX_SEEDS), "seed").groupBy("doc_id", "item_id", "enough", "place").agg(
         F.collect_set(F.floor(F.col("at") / BLOCK).cast("int")).alias("blocks")
     )
@@ -200,14 +206,14 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id, covered, coverage, n_words, in_order): documents whose tiles cover enough of a passage.
 
     ``covered`` words stand in tiles, ``n_words`` of the passage in pieces that also keep its order."""
-    passages = items.where("item_id is not null").select("item_id", words(F.col("passage")).alias("passage"))
+    passages = with_words(items.where("item_id is not null").select("item_id", "passage"), "passage", "passage")
     passages = materialize(passages.where("passage <> ''"), "passages")
     pairs = materialize(shared_seeds(documents, passages), "pairs")
     wanted = bounded(pairs.join(passages, "item_id"), MAX_PAIRS)
     texts = documents.where(F.length("text") > 0).select("doc_id", "text").join(wanted, "doc_id")
 
     # A piece has at most 11 words for 10 of the passage, so one that has a seed in the block lies in the stretch.
-    spoken = texts.select("doc_id", "item_id", "passage", "blocks", F.split(words(F.col("text")), " ").alias("_words"))
+    spoken = with_words(texts, "text", "_spoken").select("doc_id", "item_id", "passage", "blocks", F.split("_spoken", " ").alias("_words"))
     margin = F.ceil(F.size(F.split("passage", " ")) * 1.1).cast("int")
 
     def stretch(block: Column) -> Column:

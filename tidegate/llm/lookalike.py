@@ -102,10 +102,24 @@ def _translate(text: Column, table: dict[str, str]) -> Column:
 PLAIN = r"\A[\x20-\x7e\t\n\r]*\z"
 
 
+def _spread(text: Column) -> Column:
+    """Composed look-alikes whose Latin counterpart has no composed form, written out as base and marks. They are rare
+    and many, so the texts that have one leave the JVM instead of a chain of replacements running over all."""
+    wide = {k: v for k, v in tables()[1].items() if not U.decomposition(k).startswith("<")}
+
+    @F.pandas_udf(T.StringType())
+    def write_out(texts: pd.Series) -> pd.Series:
+        return texts.str.translate(str.maketrans(wide))
+
+    has = text.rlike("[" + "".join(wide) + "]")
+    return F.when(has, write_out(F.when(has, text))).otherwise(text)
+
+
 def mapped(text: Column) -> Column:
     """The text with look-alikes, width forms, blanks and joined forms made plain and invisible characters removed."""
-    single, joined, _ = tables()
-    out = text
+    single, several, _ = tables()
+    joined = {k: v for k, v in several.items() if U.decomposition(k).startswith("<")}
+    out = text = _spread(text)
     for form, letters in joined.items():
         out = F.replace(out, F.lit(form), F.lit(letters))
     unjoined = F.when(text.rlike("[" + "".join(joined) + "]"), out).otherwise(text)

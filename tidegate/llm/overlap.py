@@ -9,6 +9,12 @@ are a hundred times the tolerance, so a record has 1.4 hashes on average.
 Only distinct vectors are hashed and joined (copies are counted away before the shuffle), and only 24 bytes of each;
 whole vectors are read again for those that have a partner, compared exactly, and their copies joined back.
 
+A cell is much wider than the tolerance, so uniform traffic may put very many different vectors into one. Cells with
+more than ``DENSE`` pairs are therefore cut again, feature by feature in steps of four tolerances, those that tell
+most apart first, until no more than so many pairs are left or all features are used; then nearly all pairs are true.
+A row whose values lie near the edges of many cells would probe every combination; beyond ``MAX_PROBES`` it is
+instead looked up by the half of its features with fewer edges.
+
 Defined cases: a null, NaN or infinite feature takes a record out; so does a null split or id. Repeated ids are rows
 of their own. Empty tables give empty results. Other columns are carried only where asked for.
 """
@@ -23,8 +29,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegate.scratch import materialize
+from tidegate.sources.tables import bounded
 
 STEP = 0.1
+FINER = 4.0  # tolerances a step of a dense cell's own grid
+DENSE = 1 << 16  # pairs of distinct vectors of one cell that are compared as they are
+MAX_PROBES = 1 << 10
+MAX_BROADCAST = 200_000  # dense cells, and probes of rows near many edges, that are sent to every executor
 SHIFT = 0.37  # keeps 1 and other common constants away from a cell's edge
 
 
@@ -50,23 +61,94 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
 
-def _cell(c: Column, slack: float = 0.0) -> Column:
+def _cell(c: Column, slack: float = 0.0, step: float = STEP) -> Column:
     """Signed grid cell of a value whose magnitude is moved by ``slack`` in the logarithm; 0 has a cell of its own."""
-    at = F.floor((F.log(F.abs(c)) + F.lit(slack)) / F.lit(STEP) + F.lit(SHIFT)).cast("int")
+    at = F.floor((F.log(F.abs(c)) + F.lit(slack)) / F.lit(step) + F.lit(SHIFT)).cast("int")
     return F.when(c == 0, F.lit(-(1 << 30))).otherwise(at * 2 + F.when(c > 0, 1).otherwise(0))
 
 
-def _probes(features: Sequence[str], slack: float) -> Column:
+def _sides(feature: str, slack: float, step: float = STEP) -> Column:
+    """The one or two cells that a value within the tolerance can lie in."""
+    return F.array_distinct(F.array(_cell(F.col(feature), -slack, step), _cell(F.col(feature), slack, step)))
+
+
+def _edges(features: Sequence[str], slack: float) -> Column:
+    return reduce(lambda n, f: n + F.size(_sides(f, slack)) - 1, features, F.lit(0))
+
+
+def _probes(features: Sequence[str], slack: float, seed: int = 42) -> Column:
     """Hashes of every combination of cells that values within the tolerance can lie in."""
-    cells = [F.array_distinct(F.array(_cell(F.col(f), -slack), _cell(F.col(f), slack))) for f in features]
     # Built up feature by feature: each known combination is continued with one or both cells.
-    start = F.array(F.lit(42).cast("long"))
+    start = F.array(F.lit(seed).cast("long"))
     step = lambda hashes, two: F.flatten(F.transform(hashes, lambda h: F.transform(two, lambda c: F.xxhash64(h, c))))
-    return F.aggregate(F.array(*cells), start, step)
-
-
-def _key(features: Sequence[str]) -> Column:
-    return reduce(lambda h, f: F.xxhash64(h, _cell(F.col(f))), features, F.lit(42).cast("long"))
+    return F.aggregate(F.array(*(_sides(f, slack) for f in features)), start, step)
+
+
+def _key(features: Sequence[str], seed: int = 42) -> Column:
+    return reduce(lambda h, f: F.xxhash64(h, _cell(F.col(f))), features, F.lit(seed).cast("long"))
+
+
+def _dense(t: DataFrame, e: DataFrame) -> DataFrame:
+    """Keys whose distinct vectors make more than ``DENSE`` pairs."""
+    sides = t.select("key", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(e.select("key", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return sides.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") * F.col("b") > DENSE).select("key")
+
+
+def _paired(t: DataFrame, e: DataFrame) -> DataFrame:
+    return t.join(e, "key").select("t0", "t1", "e0", "e1")
+
+
+def _refined(t: DataFrame, e: DataFrame, features: Sequence[str], slack: float) -> DataFrame:
+    """Pairs of the dense cells' rows; ``t`` and ``e`` are (t0, t1 or e0, e1, key, features), each row once a key."""
+    step = FINER * slack
+    spread = t.agg(*(F.approx_count_distinct(_cell(F.col(f), 0.0, step)).alias(f) for f in features)).first()
+    order = sorted((f for f in features if (spread[f] or 0) > 1), key=lambda f: -spread[f])
+    out = None
+    for i, f in enumerate(order):
+        rest = order[i + 1 :]
+        t = materialize(t.withColumn("key", F.xxhash64("key", _cell(F.col(f), 0.0, step))).select("t0", "t1", "key", *rest), "dense")
+        e = e.withColumn("_c", F.explode(_sides(f, slack, step))).withColumn("key", F.xxhash64("key", "_c"))
+        e = materialize(e.select("e0", "e1", "key", *rest), "dense")
+        dense = materialize(_dense(t, e), "cells")
+        cells = bounded(dense, MAX_BROADCAST)
+        pairs = materialize(_paired(t.join(cells, "key", "left_anti"), e.join(cells, "key", "left_anti")), "candidates")
+        out = pairs if out is None else out.unionByName(pairs)
+        if dense.isEmpty():
+            return out
+        t, e = t.join(cells, "key", "left_semi"), e.join(cells, "key", "left_semi")
+    return _paired(t, e) if out is None else out.unionByName(_paired(t, e))
+
+
+def _candidates(base: DataFrame, features: Sequence[str], slack: float) -> DataFrame:
+    """(t0, t1, e0, e1): pairs of distinct vectors of a training and an evaluation row in one cell."""
+
+    def rows(which: str, p: str, keys: Column, *keep: str) -> DataFrame:
+        own = base.where(F.col("side") == which)
+        return own.select(F.col("h0").alias(f"{p}0"), F.col("h1").alias(f"{p}1"), keys.alias("key"), *keep)
+
+    most = MAX_PROBES.bit_length() - 1
+    probes = F.when(_edges(features, slack) <= most, _probes(features, slack)).otherwise(F.array().cast("array<bigint>"))
+    t = materialize(rows("train", "t", _key(features)).distinct(), "train")
+    e = materialize(rows("eval", "e", F.explode(probes)).distinct(), "eval")
+    dense = materialize(_dense(t, e), "cells")
+    if dense.isEmpty():
+        out = _paired(t, e)
+    else:
+        cells = bounded(dense, MAX_BROADCAST)
+        wide = lambda which, p, keys: materialize(rows(which, p, keys, *features).join(cells, "key", "left_semi").dropDuplicates([f"{p}0", f"{p}1", "key"]), "dense")
+        out = _paired(t.join(cells, "key", "left_anti"), e.join(cells, "key", "left_anti"))
+        out = out.unionByName(_refined(wide("train", "t", _key(features)), wide("eval", "e", F.explode(probes)), features, slack))
+
+    many = base.where((F.col("side") == "eval") & (_edges(features, slack) > most))
+    if many.isEmpty():
+        return out
+    halves = features[: len(features) // 2], features[len(features) // 2 :]
+    # At most half of the features have an edge in the better half: its probes are at most the root of all.
+    first = _edges(halves[0], slack) <= _edges(halves[1], slack)
+    keys = F.when(first, _probes(halves[0], slack, 1)).otherwise(_probes(halves[1], slack, 2))
+    few = many.select(F.col("h0").alias("e0"), F.col("h1").alias("e1"), F.explode(keys).alias("key")).distinct()
+    both = rows("train", "t", F.explode(F.array(_key(halves[0], 1), _key(halves[1], 2))))
+    return out.unionByName(_paired(both, bounded(materialize(few, "edges"), MAX_BROADCAST)).distinct())
 
 
 def cross_split_overlap(
@@ -83,13 +165,7 @@ def cross_split_overlap(
     features = [f"f{i}" for i in range(len(features))]
     base = base.withColumn("h0", F.xxhash64(*features)).withColumn("h1", F.xxhash64(F.lit(7), *features))
 
-    def hashed(which: str, keys: Column) -> DataFrame:
-        rows = base.where(F.col("side") == which)
-        return rows.select("h0", "h1", keys.alias("key")).distinct()
-
-    t = hashed("train", _key(features)).withColumnsRenamed({"h0": "t0", "h1": "t1"})
-    e = hashed("eval", F.explode(_probes(features, slack))).withColumnsRenamed({"h0": "e0", "h1": "e1"})
-    candidates = materialize(t.join(e, "key").select("t0", "t1", "e0", "e1"), "candidates")
+    candidates = materialize(_candidates(base, features, slack), "candidates")
 
     wanted = candidates.select(F.col("t0").alias("h0"), F.col("t1").alias("h1"), F.lit("train").alias("side")).unionByName(
         candidates.select(F.col("e0").alias("h0"), F.col("e1").alias("h1"), F.lit("eval").alias("side"))
