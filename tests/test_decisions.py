@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.operators import cascade as C, folds, metrics as M, relate, scorers as S
+from tidegate.operators import cascade as C, folds, metrics as M, relate
 
 
 def scores(spark, values):
@@ -148,32 +148,3 @@ def test_correlations_stumps_importance(spark):
     assert drop["leak"] > 0.3 and drop["a+b"] == 0.0
     numbers = [r._n for r in relate.numbered(df.select("id"), F.xxhash64("id")).collect()]
     assert sorted(numbers) == list(range(800))
-
-
-def test_networks(spark):
-    rng = np.random.default_rng(0)
-    x = rng.random((600, 6))
-    y = (x @ np.array([3, -2, 1, 0, 0, 1.0]) > 1.2).astype(int)
-    df = spark.createDataFrame([(i, list(map(float, v)), int(t)) for i, (v, t) in enumerate(zip(x, y))], "id long, x array<double>, y int")
-    fit = S.train_mlp(df, "x", "y", epochs=40, batch=64, hidden=(16,), rate=0.01, dropout=0.0)
-    done = S.scored(df, "x", "mlp", fit.layers, 6).agg(F.avg(((F.col("prob") >= 0.5).cast("int") == F.col("y")).cast("double"))).first()[0]
-    assert done > 0.95 and fit.history[-1] < fit.history[0]
-    for kind, weights in (("cnn", S.init_cnn()), ("lstm", S.init_lstm())):
-        out = S.scored(df.limit(50).unionByName(df.limit(1).withColumn("x", F.lit(None).cast("array<double>"))), "x", kind, weights, 6).collect()
-        assert sum(r.prob is None for r in out) == 1 and all(0 < r.prob < 1 for r in out if r.prob is not None)
-    with pytest.raises(Exception):
-        S.scored(df, "x", "mlp", fit.layers, 5).collect()
-
-
-def test_gradients_numerically():
-    rng = np.random.default_rng(1)
-    layers, x, y, w = S.init_mlp(3, (4,), 2), rng.random((5, 3)), np.array([0, 1, 1, 0, 1]), np.ones(5)
-
-    def loss(ls):
-        q = S._softmax(S.mlp_logits(ls, x))
-        return float(-(w * np.log(q[np.arange(5), y])).sum() / w.sum())
-
-    for i, (gw, _) in enumerate(S._gradients(layers, x, y, w, 0.0, rng)):
-        moved = [(a.copy(), b.copy()) for a, b in layers]
-        moved[i][0][0, 0] += 1e-6
-        assert (loss(moved) - loss(layers)) / 1e-6 == pytest.approx(gw[0, 0], abs=1e-4)

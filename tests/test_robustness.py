@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidegate.operators import perturb as P, realism as Z
 from tidegate.operators.scaling import Scaling
 from tidegate.operators.scorers import Linear
-from tidegate.operators.search import Searcher, search
+from tidegate.operators.search import ArrayValidator, Searcher, search
 from tidegate.plans.robustness import REALISM
 
 LINE = Linear("line", [2.0, -3.0, 0.5, 0.0, 1.0], 0.1)
@@ -130,6 +130,8 @@ def test_searches(spark):
     few, won0 = seeker.feature_search(ids, x, floor, steps=8, restarts=0)
     more, won1 = seeker.feature_search(ids, x, floor, steps=8, restarts=2)
     assert (won0 >= clean).all() and (won1 >= won0).all() and won0.sum() > clean.sum()
+    numeric, analytic = Searcher(p, [lambda z: z @ w - 1.2]), Searcher(p, [Linear("l", [float(v) for v in w], -1.2)])
+    assert np.allclose(numeric.slope(x, 0.0, None), analytic.slope(x, 0.0, None))
     assert seeker.wins(more[won1]).all() and (more[~won1] == x[~won1]).all()
     best, won2, theta = seeker.primitive_search(ids, x, floor, steps=8, restarts=1)
     assert won2.sum() > clean.sum() and (theta[~won2] == 0).all()
@@ -139,7 +141,9 @@ def test_searches(spark):
     adv, found, theta, queries = seeker.blackbox(ids, x, floor, queries=40)
     assert found.sum() >= clean.sum() and (queries[clean] == 0).all() and np.isnan(queries[~found]).all() and seeker.wins(adv[found]).all()
     _, _, lam = seeker.adaptive(ids, x, floor, steps=3, restarts=0)
-    assert set(lam[~np.isnan(lam)]) <= {0.0, 0.1, 1.0, 10.0}
+    assert set(lam[~np.isnan(lam)]) <= {0.0, 0.1, 1.0, 10.0, 100.0}
+    tight = seeker.projector.project_scaled({c: x[:, i] for i, c in enumerate(NAMES)}, {c: x[:, i] for i, c in enumerate(NAMES)}, floor, Z.ARRAYS)
+    assert all((tight[c] == x[:, i]).all() for i, c in enumerate(NAMES))
     df = spark.createDataFrame([(int(i), [float(v) for v in r], 0.0, "c") for i, r in zip(ids, x)], "id long, x array<double>, floor double, cat string")
     simple = Searcher(p, [Linear("l", [float(v) for v in w], -1.2).margin])
     rows = search(df.repartition(3), simple, "feature", "id", "x", "floor", ["cat"], steps=8, restarts=2).collect()
@@ -166,3 +170,20 @@ def test_search_takes_every_eligible_row(spark, monkeypatch, name, least, ruled=
     w = [base.member(m) for m in robustness.ATTACKED]
     want = {r.row_id for r in test if all(np.dot(m.weights, r.x) + m.bias >= 0 for m in w)}
     assert {r.row_id for r in chosen.select("row_id").collect()} == want and len(want) > 300
+
+
+def test_penalty_slope(spark):
+    """Of the soft validator over arrays: against central differences, away from its corners."""
+    from test_rules import CANDIDATES, SCHEMA, X, population
+    from tidegate.operators import rules as R
+
+    train, val = (spark.createDataFrame(population(n, seed), SCHEMA) for n, seed in ((1500, 0), (1000, 1)))
+    rules = R.calibrate_distribution(R.mine(train, Scaling.fit(train, X, ["flow_duration"]), CANDIDATES, ["tcp", "udp", "icmp"]), val, 0.01, train)
+    v, rng = ArrayValidator(rules), np.random.default_rng(0)
+    raw = {c: rng.uniform(rules.low[c] - 0.2 * rules.span[c], rules.high[c] + 0.2 * rules.span[c], 60) for c in rules.columns}
+    groups = v.groups(raw)
+    slope = v.penalty_slope(raw, groups)
+    for c in rules.columns:
+        h = 1e-5 * np.maximum(1.0, np.abs(raw[c]))
+        numeric = (v.penalty(raw | {c: raw[c] + h}, groups) - v.penalty(raw | {c: raw[c] - h}, groups)) / (2 * h)
+        assert (np.abs(numeric - slope[c]) <= 1e-3 * np.maximum(1.0, np.abs(numeric))).mean() > 0.95, c

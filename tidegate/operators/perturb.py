@@ -38,8 +38,10 @@ def bim(x: Column, y: Column, scorer: Linear, eps: float = EPS, steps: int = STE
 
 
 def pgd(x: Column, y: Column, scorer: Linear, row_id: Column, eps: float = EPS, steps: int = STEPS, step: float = STEP_SIZE, seed: int = 0) -> Column:
-    """``bim`` from a random point of the eps-box; the point follows from seed, row and feature."""
-    unit = lambda i: F.pmod(F.xxhash64(F.lit(seed), row_id, i), F.lit(2_000_001)) / 1_000_000.0 - 1.0
+    """``bim`` from a random point of the eps-box; the point follows from the md5 of seed, row and feature, so that
+    any engine draws the same."""
+    mark = lambda i: F.substring(F.md5(F.concat_ws(":", F.lit(seed), row_id, i)), 1, 8)
+    unit = lambda i: F.conv(mark(i), 16, 10).cast("long") % 2_000_001 / 1_000_000.0 - 1.0
     start = F.transform(x, lambda v, i: clamp(v + unit(i) * eps, 0.0, 1.0))
     return bim(x, y, scorer, eps, steps, step, start)
 

@@ -1,17 +1,12 @@
-"""Scorers: a declared linear one as an expression, networks as Arrow-batched forward passes, MLlib models.
-
-Network weights are plain arrays sent with the function. Training of networks happens on a bounded sample of rows
-(``max_rows``) on the driver; scoring is distributed.
-"""
+"""Scorers: a declared linear one as an expression, and MLlib models. Networks: ``operators.networks``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegate.functions.numeric import sigmoid, total
 
@@ -43,154 +38,9 @@ class Linear:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return x @ np.array(self.weights) + self.bias - self.tau()
 
-
-# -- networks ---------------------------------------------------------------------------------------------------
-
-
-def _relu(x: np.ndarray) -> np.ndarray:
-    return np.maximum(x, 0)
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def init_mlp(n: int, hidden: Sequence[int] = (128, 64, 32), seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    rng, sizes = np.random.default_rng(seed), [n, *hidden, 2]
-    return [(rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:])]
-
-
-def mlp_logits(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
-    for w, b in layers[:-1]:
-        x = _relu(x @ w + b)
-    return x @ layers[-1][0] + layers[-1][1]
-
-
-def init_cnn(blocks: Sequence[int] = (64, 128), width: int = 3, dense: int = 64, seed: int = 0) -> dict:
-    rng, into, convs = np.random.default_rng(seed), 1, []
-    for out in blocks:
-        convs.append((rng.normal(0, np.sqrt(2 / (width * into)), (width, into, out)), np.zeros(out)))
-        into = out
-    return {"convs": convs, "dense": init_mlp(into, (dense,), seed + 1)}
-
-
-def cnn_logits(weights: dict, x: np.ndarray) -> np.ndarray:
-    """Convolutions of equal length with relu, halved by maximum after each but the last, global maximum, dense."""
-    h = x[:, :, None]
-    for i, (w, b) in enumerate(weights["convs"]):
-        pad = w.shape[0] // 2
-        padded = np.pad(h, ((0, 0), (pad, w.shape[0] - 1 - pad), (0, 0)))
-        h = _relu(sum(padded[:, k : k + h.shape[1]] @ w[k] for k in range(w.shape[0])) + b)
-        if i + 1 < len(weights["convs"]):
-            h = h[:, : h.shape[1] // 2 * 2].reshape(len(h), -1, 2, h.shape[2]).max(axis=2)
-    return mlp_logits(weights["dense"], h.max(axis=1))
-
-
-def init_lstm(units: int = 64, dense: int = 32, seed: int = 0) -> dict:
-    rng = np.random.default_rng(seed)
-    return {"x": rng.normal(0, 0.5, (1, 4 * units)), "h": rng.normal(0, 1 / np.sqrt(units), (units, 4 * units)), "b": np.zeros(4 * units), "dense": init_mlp(units, (dense,), seed + 1)}
-
-
-def lstm_logits(weights: dict, x: np.ndarray) -> np.ndarray:
-    """The features as a sequence of single values; gates in the order input, forget, candidate, output."""
-    units = len(weights["h"])
-    h = c = np.zeros((len(x), units))
-    gate = lambda z: 1 / (1 + np.exp(-z))
-    for t in range(x.shape[1]):
-        z = x[:, t : t + 1] @ weights["x"] + h @ weights["h"] + weights["b"]
-        i, f, g, o = (z[:, k * units : (k + 1) * units] for k in range(4))
-        c = gate(f) * c + gate(i) * np.tanh(g)
-        h = gate(o) * np.tanh(c)
-    return mlp_logits(weights["dense"], h)
-
-
-LOGITS: dict[str, Callable] = {"mlp": mlp_logits, "cnn": cnn_logits, "lstm": lstm_logits}
-
-
-def scored(df: DataFrame, x_col: str, kind: str, weights: object, n_features: int) -> DataFrame:
-    """Add ``logit`` (attack minus benign) and ``prob``; a vector of another length or a null one raises / is null."""
-    forward = LOGITS[kind]
-
-    @F.pandas_udf(T.DoubleType())
-    def logit(x: pd.Series) -> pd.Series:
-        out = np.full(len(x), np.nan)
-        rows = x.notna().to_numpy()
-        if rows.any():
-            batch = np.stack(x[rows].to_numpy()).astype(float)
-            if batch.shape[1] != n_features:
-                raise ValueError(f"{batch.shape[1]} features given, {n_features} expected")
-            z = forward(weights, batch)
-            out[rows] = z[:, 1] - z[:, 0]
-        return pd.Series(out)
-
-    return df.withColumn("logit", F.nanvl(logit(x_col), F.lit(None).cast("double"))).withColumn("prob", sigmoid(F.col("logit")))
-
-
-@dataclass
-class Fit:
-    layers: list[tuple[np.ndarray, np.ndarray]]
-    history: list[float]
-
-
-def train_mlp(rows: DataFrame, x_col: str, y_col: str, max_rows: int = 200_000, epochs: int = 30, batch: int = 1024, rate: float = 1e-3,
-              patience: int = 4, hidden: Sequence[int] = (128, 64, 32), dropout: float = 0.2, weight_col: str | None = None, seed: int = 0) -> Fit:
-    """Adam, cross-entropy, dropout, early stopping on a tenth held out, learning rate halved on a plateau.
-
-    At most ``max_rows`` rows, drawn by hash of their vector, come to the driver: a model may be fitted on a bounded
-    sample."""
-    n = rows.count()
-    cut = rows if n <= max_rows else rows.where(F.pmod(F.xxhash64(x_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_rows / n)))
-    pdf = cut.select(F.col(x_col).alias("x"), F.col(y_col).alias("y"), (F.col(weight_col) if weight_col else F.lit(1.0)).alias("w")).toPandas()
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(pdf))
-    x, y, w = np.stack(pdf["x"].to_numpy()).astype(float)[order], pdf["y"].to_numpy()[order].astype(int), pdf["w"].to_numpy()[order]
-    held = max(1, len(x) // 10)
-    layers = init_mlp(x.shape[1], hidden, seed)
-    m = [[np.zeros_like(p) for p in layer] for layer in layers]
-    v = [[np.zeros_like(p) for p in layer] for layer in layers]
-    best, kept, since, history, step = np.inf, layers, 0, [], 0
-    for _ in range(epochs):
-        for at in range(held, len(x), batch):
-            step += 1
-            grads = _gradients(layers, x[at : at + batch], y[at : at + batch], w[at : at + batch], dropout, rng)
-            new = []
-            for i, (layer, grad) in enumerate(zip(layers, grads)):
-                parts = []
-                for j, (p, g) in enumerate(zip(layer, grad)):
-                    m[i][j] = 0.9 * m[i][j] + 0.1 * g
-                    v[i][j] = 0.999 * v[i][j] + 0.001 * g * g
-                    parts.append(p - rate * (m[i][j] / (1 - 0.9**step)) / (np.sqrt(v[i][j] / (1 - 0.999**step)) + 1e-8))
-                new.append(tuple(parts))
-            layers = new
-        q = _softmax(mlp_logits(layers, x[:held]))
-        loss = float(-np.log(np.maximum(q[np.arange(held), y[:held]], 1e-15)).mean())
-        history.append(loss)
-        if loss < best - 1e-6:
-            best, kept, since = loss, layers, 0
-        else:
-            since += 1
-            rate *= 0.5 if since == 2 else 1.0
-            if since >= patience:
-                break
-    return Fit(kept, history)
-
-
-def _gradients(layers, x, y, w, dropout, rng):
-    acts, masks = [x], []
-    for a, b in layers[:-1]:
-        mask = (rng.random((len(x), a.shape[1])) >= dropout) / (1 - dropout)
-        masks.append(mask)
-        acts.append(_relu(acts[-1] @ a + b) * mask)
-    q = _softmax(acts[-1] @ layers[-1][0] + layers[-1][1])
-    q[np.arange(len(x)), y] -= 1
-    delta = q * (w / w.sum())[:, None]
-    grads = []
-    for i in range(len(layers) - 1, -1, -1):
-        grads.append((acts[i].T @ delta, delta.sum(axis=0)))
-        if i:
-            delta = (delta @ layers[i][0].T) * (acts[i] > 0) * masks[i - 1]
-    return grads[::-1]
+    def slope(self, x: np.ndarray) -> np.ndarray:
+        """Gradient of the margin by the inputs."""
+        return np.tile(np.array(self.weights), (len(x), 1))
 
 
 # -- MLlib ------------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegate.functions.numeric import norms, relative_error
-from tidegate.operators import metrics as M, perturb as P, report as R, scorers as S
+from tidegate.operators import metrics as M, networks as N, perturb as P, report as R, scorers as S
 from tidegate.operators.relate import best_stumps
 from tidegate.operators.rules import Validator
 from tidegate.operators.sample import ranked
@@ -15,6 +15,7 @@ from tidegate.schema import FEATURES
 from tidegate.sources.tables import read_table
 from tidegate.streaming.gate import run_gate
 
+SAMPLE = 20_000  # labelled rows that a model is fitted on
 GROUPS = ["all", "ddos", "dos", "mirai", "recon", "spoofing", "web", "bruteforce", "pop10pkt", "pop100pkt"]
 
 
@@ -102,53 +103,55 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
 
 
 def forest_fit_score(spark: SparkSession, d: str) -> DataFrame:
-    """A forest fitted on a bounded sample of labelled training rows (20,000), scored on all test rows."""
+    """A forest fitted on a bounded sample of labelled training rows (``SAMPLE``), scored on all test rows."""
     rows, columns = _labelled(spark, d)
-    train = ranked(rows.where("split_name = 'train'"), [], "row_id", F.least("n_stratum", F.lit(20_000)), 42)
-    model = S.fit_forest(train, columns, "y", trees=20, depth=6)
+    train = ranked(rows.where("split_name = 'train'"), [], "row_id", F.least("n_stratum", F.lit(SAMPLE)), 42)
+    model = S.fit_forest(train, columns, "y")
     return rounded(M.binary_metrics(model.transform(rows.where("split_name = 'test'")), F.col("y"), F.col("prediction")))
 
 
 def topk_importance(spark: SparkSession, d: str) -> DataFrame:
     """The ten features a forest leans on most."""
     rows, columns = _labelled(spark, d)
-    train = ranked(rows.where("split_name = 'train'"), [], "row_id", F.least("n_stratum", F.lit(20_000)), 42)
-    return spark.createDataFrame(S.top_importances(S.fit_forest(train, columns, "y", trees=20, depth=6), columns, 10), "column_name string, importance double")
+    train = ranked(rows.where("split_name = 'train'"), [], "row_id", F.least("n_stratum", F.lit(SAMPLE)), 42)
+    return spark.createDataFrame(S.top_importances(S.fit_forest(train, columns, "y"), columns, 10), "column_name string, importance double")
 
 
 def tree_probe(spark: SparkSession, d: str) -> DataFrame:
     """Balanced depth-3 tree on the packet-size columns alone."""
     rows, _ = _labelled(spark, d)
     columns = ["pkt_min", "pkt_avg", "pkt_max", "pkt_std"]
-    train = ranked(rows.where("split_name = 'train'"), [], "row_id", F.least("n_stratum", F.lit(20_000)), 42)
+    train = ranked(rows.where("split_name = 'train'"), [], "row_id", F.least("n_stratum", F.lit(SAMPLE)), 42)
     return rounded(M.binary_metrics(S.fit_tree(train, columns, "y").transform(rows.where("split_name = 'test'")), F.col("y"), F.col("prediction")))
 
 
-def _network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scaled vectors ``x`` of training and of test rows."""
     rows = flows(spark, d)
     s = scaling(rows.where("split_name = 'train'"))
     made = rows.select("row_id", "split_name", "category", "y", s.vector().alias("x"))
     return made.where("split_name = 'train'"), made.where("split_name = 'test'")
 
 
+def _trained(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    train, test = vectors(spark, d)
+    network = N.fitted(kind, train, "row_id", "x", "y", max_rows=SAMPLE)
+    return rounded(M.binary_metrics(N.scored(test, "x", network), F.col("y"), (F.col("prob") >= 0.5).cast("int"), prob=F.col("prob")))
+
+
 def mlp_train_score(spark: SparkSession, d: str) -> DataFrame:
-    """Dense network fitted on at most 20,000 training rows, scored on all test rows."""
-    train, test = _network(spark, d)
-    fit = S.train_mlp(train, "x", "y", max_rows=20_000, epochs=6, batch=256)
-    return rounded(M.binary_metrics(S.scored(test, "x", "mlp", fit.layers, len(FEATURES)), F.col("y"), (F.col("prob") >= 0.5).cast("int"), prob=F.col("prob")))
+    """Dense network fitted on at most ``SAMPLE`` training rows, scored on all test rows."""
+    return _trained(spark, d, "mlp")
 
 
-def cnn_forward(spark: SparkSession, d: str) -> DataFrame:
-    """Forward pass of the convolutional network with seeded weights over all test rows."""
-    _, test = _network(spark, d)
-    out = S.scored(test, "x", "cnn", S.init_cnn(), len(FEATURES))
-    return out.groupBy("category").agg(F.count("prob").alias("n_rows"), F.avg("prob").alias("mean_prob"))
+def cnn_train_score(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the convolutional network."""
+    return _trained(spark, d, "cnn")
 
 
-def lstm_forward(spark: SparkSession, d: str) -> DataFrame:
-    _, test = _network(spark, d)
-    out = S.scored(test, "x", "lstm", S.init_lstm(), len(FEATURES))
-    return out.groupBy("category").agg(F.count("prob").alias("n_rows"), F.avg("prob").alias("mean_prob"))
+def lstm_train_score(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the recurrent network."""
+    return _trained(spark, d, "lstm")
 
 
 # -- streaming --------------------------------------------------------------------------------------------------
@@ -172,7 +175,7 @@ def stream_gate(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     cell_summary_grouping_sets, category_pivot, tier_table, evasion_rates, catch_attribution, realism_audit, eligible_rows, cell_verdicts, integrality_overlap, forest_fit_score, topk_importance, tree_probe, mlp_train_score,
-    cnn_forward, lstm_forward, stream_gate,
+    cnn_train_score, lstm_train_score, stream_gate,
 )}
 
 _LINES = """lines AS (SELECT run_id, spec, attack, model, regexp_replace(lower(grp), '[^a-z0-9]', '', 'g') AS grp, max(pass_and_evade_pct) FILTER (WHERE NOT isnan(pass_and_evade_pct)) AS pass_and_evade_pct,

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegate.functions.numeric import norms
-from tidegate.operators import perturb as P, realism as Z, sample
+from tidegate.operators import networks as N, perturb as P, realism as Z, sample
 from tidegate.operators.metrics import perturbation_summary
+from tidegate.operators.report import population
+from tidegate.operators.scaling import Scaling
 from tidegate.operators.search import ArrayValidator, Searcher, search
 from tidegate.plans.base import FLOWS_SQL, PARAMS_SQL, SCALED_SQL, LOG1P, every, flows, logit_sql, member, mined, rounded, scaling
+from tidegate.plans.reports import SAMPLE, vectors
 from tidegate.schema import FEATURES
+from tidegate.scratch import materialize
 
-N = len(FEATURES)
+WIDTH = len(FEATURES)
 GRID = [0.01, 0.02, 0.05, 0.1, 0.2]
 
 # Classes of the columns, size cap, flow-age modes, functional floors.
@@ -50,7 +56,7 @@ def fgsm_linear(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bim_linear(spark: SparkSession, d: str) -> DataFrame:
-    return _effect(_vectors(spark, d), P.perturb("bim", F.col("x"), F.col("y"), member("cnn"), eps=0.1, steps=4, step=0.03), "cnn")
+    return _effect(_vectors(spark, d), P.perturb("bim", F.col("x"), F.col("y"), member("cnn"), eps=0.1), "cnn")
 
 
 def pgd_linear(spark: SparkSession, d: str) -> DataFrame:
@@ -58,22 +64,32 @@ def pgd_linear(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deepfool_linear(spark: SparkSession, d: str) -> DataFrame:
-    return _effect(_vectors(spark, d), P.perturb("deepfool", F.col("x"), F.col("y"), member("mlp"), steps=1), "mlp")
+    return _effect(_vectors(spark, d), P.perturb("deepfool", F.col("x"), F.col("y"), member("mlp")), "mlp")
+
+
+ATTACKS = {"fgsm": {"eps": 0.1}, "bim": {"eps": 0.1}, "pgd": {"eps": 0.1}, "deepfool": {}}
 
 
 def perturbation_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Per attack and member the accuracy, evasion and norms over all test attack rows: 4 x 3 cells in one pass."""
+    """Per attack and member the accuracy, evasion and norms over all test attack rows: 4 x 3 cells from one scan, as
+    an array of cells in each row."""
     rows, cells = _vectors(spark, d), []
     for m in ("mlp", "cnn", "lstm"):
         s = member(m)
-        for a, settings in (("fgsm", {"eps": 0.1}), ("bim", {"eps": 0.1}), ("pgd", {"eps": 0.1}), ("deepfool", {})):
-            adv = rows.withColumn("adv", P.perturb(a, F.col("x"), F.col("y"), s, F.col("row_id"), **settings))
-            n = norms(F.col("x"), F.col("adv"))
-            cells.append(adv.select(F.lit(a).alias("attack"), F.lit(m).alias("model"), "y", (s.logit(F.col("x")) >= 0).cast("int").alias("pred_clean"), (s.logit(F.col("adv")) >= 0).cast("int").alias("pred_adv"), *(c.alias(k) for k, c in n.items())))
-    out = cells[0]
-    for c in cells[1:]:
-        out = out.unionByName(c)
-    return rounded(perturbation_summary(out))
+        for a, settings in ATTACKS.items():
+            adv = F.col(f"{a}_{m}")
+            rows = rows.withColumn(f"{a}_{m}", P.perturb(a, F.col("x"), F.col("y"), s, F.col("row_id"), **settings))
+            marks = {"attack": F.lit(a), "model": F.lit(m), "pred_clean": (s.logit(F.col("x")) >= 0).cast("int"), "pred_adv": (s.logit(adv) >= 0).cast("int"), **norms(F.col("x"), adv)}
+            cells.append(F.struct(*(c.alias(k) for k, c in marks.items())))
+    return rounded(perturbation_summary(rows.select("y", F.inline(F.array(*cells)))))
+
+
+def network_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same 4 x 3 cells against networks trained on a bounded sample, with gradients through each of them."""
+    train, _ = vectors(spark, d)
+    networks = {m: N.fitted(m, train, "row_id", "x", "y", max_rows=SAMPLE) for m in ("mlp", "cnn", "lstm")}
+    rows = _vectors(spark, d).repartition(24, "row_id")  # a row costs far more than its size
+    return rounded(perturbation_summary(N.perturbation_cells(rows, networks, ATTACKS, "row_id", "x", "y")))
 
 
 def eps_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -197,19 +213,28 @@ def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 ATTACKED = ["mlp", "cnn"]
 PER_CATEGORY = 900
+# Settings tried on validation rows (search, steps, step, restarts).
+GRID_ROWS = 100
+TUNING = [
+    ("feature", 100, 0.01, 0), ("feature", 300, 0.01, 0), ("feature", 100, 0.03, 0), ("feature", 100, 0.01, 3), ("feature", 300, 0.03, 3), ("feature", 100, 0.01, 10), ("feature", 100, 0.01, 30),
+    ("primitive", 100, 0.05, 0), ("primitive", 300, 0.05, 0), ("primitive", 100, 0.2, 0), ("primitive", 100, 0.05, 3), ("primitive", 300, 0.1, 3), ("primitive", 100, 0.05, 10), ("primitive", 100, 0.05, 30),
+]
+
+
+def _chosen(rows: DataFrame, p: Z.Projector, s: Scaling, split: str, per_category: int) -> DataFrame:
+    """Rows of a split that every attacked member detects, up to so many a category; spread anew, as a search costs
+    far more than its row."""
+    at = rows.where(F.col("split_name") == split).select("row_id", "category", "y", s.vector().alias("x"), p.spec.rate_floor(F.col("category")).alias("floor"))
+    eligible = every([F.col("y") == 1, *(member(m).detects(F.col("x")) for m in ATTACKED)])
+    return sample.per_category(at, "category", "row_id", per_category, eligible, "Benign").repartition(24, "row_id")
 
 
 def _search(spark: SparkSession, d: str, kind: str, **settings: object) -> DataFrame:
-    """Test rows that every attacked member detects, up to 900 a category; spread anew, as a search costs far more than its row."""
     rows = flows(spark, d)
     rules, s = mined(rows), scaling(rows.where("split_name = 'train'"))
     p = Z.Projector(Z.RealismSpec.from_dict(REALISM, "C"), s)
-    members = [member(m) for m in ATTACKED]
-    at = rows.where("split_name = 'test'").select("row_id", "category", "y", s.vector().alias("x"), p.spec.rate_floor(F.col("category")).alias("floor"))
-    eligible = every([F.col("y") == 1, *(m.detects(F.col("x")) for m in members)])
-    chosen = sample.per_category(at, "category", "row_id", PER_CATEGORY, eligible, "Benign").repartition(24, "row_id")
-    seeker = Searcher(p, [m.margin for m in members], ArrayValidator(rules))
-    found = search(chosen, seeker, kind, "row_id", "x", "floor", ["category"], **settings)
+    seeker = Searcher(p, [member(m) for m in ATTACKED], ArrayValidator(rules))
+    found = search(_chosen(rows, p, s, "test", PER_CATEGORY), seeker, kind, "row_id", "x", "floor", ["category"], **settings)
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("won").alias("n_won"), F.avg("detail").alias("detail"))
 
 
@@ -218,20 +243,62 @@ def feature_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def primitive_search(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "primitive", steps=100, frac=0.05, restarts=10)
+    return _search(spark, d, "primitive", steps=100, step=0.05, restarts=10)
 
 
 def adaptive_search(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "adaptive_feature", ladder=(0.0, 0.1, 1.0, 10.0, 100.0), steps=100, step=0.01, restarts=10)
+    return _search(spark, d, "adaptive_feature", steps=100, step=0.01, restarts=10)
 
 
 def blackbox_search(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "blackbox", queries=1000)
 
 
+def search_tuning(spark: SparkSession, d: str) -> DataFrame:
+    """The 14 settings on validation rows (up to 100 a category, spec A): rows that evade the members, and that also
+    pass the validator; in all and per window population."""
+    rows = flows(spark, d)
+    rules, s = mined(rows), scaling(rows.where("split_name = 'train'"))
+    p = Z.Projector(Z.RealismSpec.from_dict(REALISM, "A"), s)
+    models, check = [member(m) for m in ATTACKED], ArrayValidator(rules)
+    chosen = materialize(_chosen(rows, p, s, "val", GRID_ROWS), "tuning").repartition(24, "row_id")
+    judge = Searcher(p, models, check)
+
+    def run(batches):
+        for pdf in batches:
+            ids, x, floor = pdf["row_id"].to_numpy(), np.stack(pdf["x"].to_numpy()).astype(float), pdf["floor"].to_numpy(float)
+            for kind, steps, step, restarts in TUNING:
+                blind = Searcher(p, models)  # the settings are compared without the validator in the loop
+                adv = getattr(blind, f"{kind}_search")(ids, x, floor, steps, step, restarts=restarts)[0]
+                evades = judge.wins(adv, need_validator=False)
+                yield pd.DataFrame({"search": kind, "steps": steps, "step": step, "restarts": restarts, "category": pdf["category"], "evades": evades, "passes": judge.wins(adv)})
+
+    made = chosen.mapInPandas(run, "search string, steps int, step double, restarts int, category string, evades boolean, passes boolean")
+    share = lambda c: 100.0 * F.avg(c.cast("double"))
+    of = lambda name: share(F.when(population(F.col("category")) == name, F.col("passes")))
+    return made.groupBy("search", "steps", "step", "restarts").agg(
+        F.count(F.lit(1)).alias("n_rows"), share(F.col("evades")).alias("evasion_pct"), share(F.col("passes")).alias("pass_and_evade_pct"),
+        of("10-pkt").alias("pass_and_evade_10pkt_pct"), of("100-pkt").alias("pass_and_evade_100pkt_pct"),
+    )
+
+
+def network_search(spark: SparkSession, d: str) -> DataFrame:
+    """The feature search against a trained dense network: test rows it detects, up to 900 a category."""
+    train, _ = vectors(spark, d)
+    network = N.fitted("mlp", train, "row_id", "x", "y", max_rows=SAMPLE)
+    rows = flows(spark, d)
+    rules, s = mined(rows), scaling(rows.where("split_name = 'train'"))
+    p = Z.Projector(Z.RealismSpec.from_dict(REALISM, "C"), s)
+    at = rows.where("split_name = 'test'").select("row_id", "category", "y", s.vector().alias("x"), p.spec.rate_floor(F.col("category")).alias("floor"))
+    judged = N.scored(at, "x", network)
+    chosen = sample.per_category(judged, "category", "row_id", PER_CATEGORY, (F.col("y") == 1) & (F.col("prob") >= 0.5), "Benign").repartition(24, "row_id")
+    found = search(chosen, Searcher(p, [network], ArrayValidator(rules)), "feature", "row_id", "x", "floor", ["category"], steps=100, step=0.01, restarts=10)
+    return found.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("won").alias("n_won"))
+
+
 QUERIES = {f.__name__: f for f in (
-    fgsm_linear, bim_linear, pgd_linear, deepfool_linear, perturbation_cells, eps_sweep, projection_spec_a, projection_spec_b, projection_spec_c, projection_violation,
-    theta_bounds, theta_apply, theta_cost, floor_ok, lever_usage, floor_sweep, feature_search, primitive_search, adaptive_search, blackbox_search,
+    fgsm_linear, bim_linear, pgd_linear, deepfool_linear, perturbation_cells, network_cells, eps_sweep, projection_spec_a, projection_spec_b, projection_spec_c, projection_violation,
+    theta_bounds, theta_apply, theta_cost, floor_ok, lever_usage, floor_sweep, feature_search, primitive_search, adaptive_search, blackbox_search, search_tuning, network_search,
 )}
 
 # -- SQL --------------------------------------------------------------------------------------------------------
@@ -245,11 +312,11 @@ def _w(name: str) -> str:
 
 def _zip(a: str, b: str, f: str) -> str:
     """list of f over positions i of lists a and b."""
-    return f"list_transform(range(1, {N + 1}), lambda i: {f.format(a=f'{a}[i]', b=f'{b}[i]')})"
+    return f"list_transform(range(1, {WIDTH + 1}), lambda i: {f.format(a=f'{a}[i]', b=f'{b}[i]')})"
 
 
 def _moved(step: float, eps: float, origin: str, x: str, w: str) -> str:
-    return f"list_transform(range(1, {N + 1}), lambda i: least(greatest(least(greatest({x}[i] - sign({w}[i]) * {step}, {origin}[i] - {eps}), {origin}[i] + {eps}), 0.0), 1.0))"
+    return f"list_transform(range(1, {WIDTH + 1}), lambda i: least(greatest(least(greatest({x}[i] - sign({w}[i]) * {step}, {origin}[i] - {eps}), {origin}[i] + {eps}), 0.0), 1.0))"
 
 
 def _effect_sql(name: str, ctes: str, source: str) -> str:
@@ -258,6 +325,25 @@ def _effect_sql(name: str, ctes: str, source: str) -> str:
           round(sqrt(list_sum(list_transform(delta, lambda v: v * v))), 6) AS l2, len(list_filter(delta, lambda v: v <> 0)) AS n_changed FROM n"""
 
 
+def _attack_sql(attack: str, m: str) -> str:
+    """CTE <attack>_<member> with the perturbed vector ``adv``, one more CTE per step."""
+    w, name = _w(m), f"{attack}_{m}"
+    if attack == "fgsm":
+        return f"{name} AS (SELECT *, {_moved(0.1, 0.1, 'x', 'x', w)} AS adv FROM v)"
+    if attack == "deepfool":
+        norm = sum(v * v for v in member(m).weights)
+        step = f"list_transform(range(1, {WIDTH + 1}), lambda i: least(greatest(adv[i] - {w}[i] * (f * 1.02 / {norm!r}), 0.0), 1.0))"
+        parts = [f"{name}_0 AS (SELECT *, x AS adv, {logit_sql(m)} AS f FROM v)"]
+        for k in range(1, 11):
+            moved = f"SELECT * REPLACE (CASE WHEN f < 0 THEN adv ELSE {step} END AS adv) FROM {name}_{k - 1}"
+            parts.append(f"{name}_{k} AS (SELECT * REPLACE ({logit_sql(m, 'adv')} AS f) FROM ({moved}))")
+        return ", ".join([*parts, f"{name} AS (SELECT * FROM {name}_10)"])
+    unit = "((('0x' || substr(md5('0:' || row_id || ':' || (i - 1)), 1, 8))::BIGINT % 2000001) / 1000000.0::DOUBLE - 1)"
+    start = "x" if attack == "bim" else f"list_transform(range(1, {WIDTH + 1}), lambda i: least(greatest(x[i] + {unit} * 0.1::DOUBLE, 0.0), 1.0))"
+    steps = [f"{name}_{k} AS (SELECT * REPLACE ({_moved(0.02, 0.1, 'x', 'adv', w)} AS adv) FROM {name}_{k - 1})" for k in range(1, 11)]
+    return ", ".join([f"{name}_0 AS (SELECT *, {start} AS adv FROM v)", *steps, f"{name} AS (SELECT * FROM {name}_10)"])
+
+
 _F = {"A": False, "B": (1.0, 5.0), "C": (0.2, 5.0)}
 _CAT_FLOOR = "CASE WHEN category IN ('DDoS', 'DoS', 'Mirai') THEN 0.5 ELSE 0.0 END"
 
@@ -304,9 +390,16 @@ _R = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 1 END"
 SQL = {
     "fgsm_linear": _effect_sql("mlp", f"m AS (SELECT *, {_moved(0.1, 0.1, 'x', 'x', _w('mlp'))} AS adv FROM v)", "m"),
     "bim_linear": _effect_sql("cnn", "m0 AS (SELECT *, x AS adv FROM v), " + ", ".join(
-        f"m{k} AS (SELECT * REPLACE ({_moved(0.03, 0.1, 'x', 'adv', _w('cnn'))} AS adv) FROM m{k - 1})" for k in range(1, 5)), "m4"),
-    "deepfool_linear": _effect_sql("mlp", f"""f AS (SELECT *, {logit_sql('mlp')} AS f FROM v), m AS (SELECT *, CASE WHEN f < 0 THEN x ELSE list_transform(range(1, {N + 1}),
-        lambda i: least(greatest(x[i] - {_w('mlp')}[i] * (f * 1.02 / {sum(w * w for w in member('mlp').weights)!r}), 0.0), 1.0)) END AS adv FROM f)""", "m"),
+        f"m{k} AS (SELECT * REPLACE ({_moved(0.02, 0.1, 'x', 'adv', _w('cnn'))} AS adv) FROM m{k - 1})" for k in range(1, 11)), "m10"),
+    "pgd_linear": _effect_sql("lstm", _attack_sql("pgd", "lstm"), "pgd_lstm"),
+    "deepfool_linear": _effect_sql("mlp", _attack_sql("deepfool", "mlp"), "deepfool_mlp"),
+    "perturbation_cells": f"WITH {_VEC}, " + ", ".join(_attack_sql(a, m) for a in ATTACKS for m in ("mlp", "cnn", "lstm")) + ", cells AS (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS attack, '{m}' AS model, y, ({logit_sql(m)} >= 0)::INT AS pred_clean, ({logit_sql(m, 'adv')} >= 0)::INT AS pred_adv, {_zip('adv', 'x', '{a} - {b}')} AS delta FROM {a}_{m}" for a in ATTACKS for m in ("mlp", "cnn", "lstm")) + """),
+        n AS (SELECT *, list_max(list_transform(delta, lambda v: abs(v))) AS linf, sqrt(list_sum(list_transform(delta, lambda v: v * v))) AS l2, len(list_filter(delta, lambda v: v <> 0)) AS n_changed FROM cells)
+        SELECT attack, model, count(*) AS n_rows, round(avg((pred_clean = y)::INT), 6) AS acc_clean, round(avg((pred_adv = y)::INT), 6) AS acc_adv,
+          round(coalesce(avg((pred_adv = 0)::INT) FILTER (WHERE y = 1 AND pred_clean = 1), 0), 6) AS evasion, round(coalesce(avg((pred_adv = 0)::INT) FILTER (WHERE y = 1), 0), 6) AS success_rate,
+          count(*) FILTER (WHERE pred_clean <> pred_adv) AS n_flipped, round(avg(linf), 6) AS mean_linf, round(max(linf), 6) AS max_linf, round(avg(l2), 6) AS mean_l2, round(avg(n_changed), 6) AS mean_changed
+        FROM n GROUP BY attack, model""",
     "eps_sweep": f"WITH {_VEC}, " + ", ".join(f"e{k} AS (SELECT {e} AS eps, {_moved(e, e, 'x', 'x', _w('mlp'))} AS adv FROM v)" for k, e in enumerate(GRID))
     + ", u AS (" + " UNION ALL ".join(f"SELECT eps::DOUBLE AS eps, adv FROM e{k}" for k in range(len(GRID))) + f") SELECT eps, count(*) AS n_rows, round(avg(({logit_sql('mlp', 'adv')} >= 0)::INT), 6) AS detected FROM u GROUP BY eps",
     **{f"projection_spec_{s.lower()}": f"WITH {_WILD}, {_project_sql('w', s)} SELECT row_id, {_SHOW} FROM p5" for s in "ABC"},
