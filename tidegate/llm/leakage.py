@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidegate.llm.lookalike import PLAIN, skeleton
+from tidegate.llm.lookalike import PLAIN, with_skeleton
 from tidegate.scratch import materialize
 from tidegate.sources.tables import bounded
 
@@ -65,13 +65,13 @@ def with_words(df: DataFrame, text_col: str, out: str) -> DataFrame:
 
     One column per step, so that a step that names the text twice does not compute the steps before it twice."""
     c = F.col("_w")
-    df = df.withColumn("_w", _unescaped(F.col(text_col))).withColumn("_w", F.lower(skeleton(c)))
+    df = with_skeleton(df.withColumn("_u", _unescaped(F.col(text_col))), "_u", "_w").withColumn("_w", F.lower("_w"))
     plain = F.regexp_replace(F.regexp_replace(c, rf"</?(?:{INLINE})(?:\s[^<>]*+)?>", ""), r"</?[a-z!][^<>]*+>", " ")
     df = df.withColumn("_w", F.when(F.contains(c, F.lit("<")), plain).otherwise(c))
     df = df.withColumn("_w", F.when(F.contains(c, F.lit("\\")), F.regexp_replace(c, r"\\[nrt]", " ")).otherwise(c))
     df = df.withColumn("_w", F.regexp_replace(F.translate(c, "'’`´", ""), r"[.,](?<=[0-9][.,])(?=[0-9])", ""))
     only = lambda kept: F.btrim(F.regexp_replace(c, f"[^{kept}]+", " "))
-    return df.withColumn(out, F.when(c.rlike(PLAIN), only("a-z0-9")).otherwise(only(r"\p{L}\p{N}"))).drop("_w")
+    return df.withColumn(out, F.when(c.rlike(PLAIN), only("a-z0-9")).otherwise(only(r"\p{L}\p{N}"))).drop("_w", "_u")
 
 
 def seeds(spoken: Column) -> Column:
@@ -194,7 +194,8 @@ def shared_seeds(documents: DataFrame, passages: DataFrame) -> DataFrame:
     enough = F.when(n >= 20, 6).otherwise(F.greatest(F.lit(1), n - 4 - 5 * F.floor(n / 10)))
     needles = passages.select("item_id", enough.alias("enough"), F.posexplode(seeds(F.col("passage"))).alias("place", "seed"))
     hay = with_words(documents.where(F.length("text") > 0).select("doc_id", "text"), "text", "_spoken")
-    hay = hay.select("doc_id", F.posexplode(seeds(F.col("_spoken"))).alias("at", "seed"))
+    # Outer, since for the inner form the optimiser computes the whole normalisation once more to filter empty arrays.
+    hay = hay.select("doc_id", F.posexplode_outer(seeds(F.col("_spoken"))).alias("at", "seed")).where("seed is not null")
     hits = hay.join(bounded(needles, MAX_SEEDS), "seed").groupBy("doc_id", "item_id", "enough", "place").agg(
         F.collect_set(F.floor(F.col("at") / BLOCK).cast("int")).alias("blocks")
     )
@@ -207,7 +208,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     ``covered`` words stand in tiles, ``n_words`` of the passage in pieces that also keep its order."""
     passages = with_words(items.where("item_id is not null").select("item_id", "passage"), "passage", "passage")
-    passages = materialize(passages.where("passage <> ''"), "passages")
+    passages = materialize(passages, "passages").where("passage <> ''")
     pairs = materialize(shared_seeds(documents, passages), "pairs")
     wanted = bounded(pairs.join(passages, "item_id"), MAX_PAIRS)
     texts = documents.where(F.length("text") > 0).select("doc_id", "text").join(wanted, "doc_id")
@@ -220,7 +221,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         low = F.greatest(block * BLOCK - margin, F.lit(0))
         return F.array_join(F.slice("_words", low + 1, (block + 1) * BLOCK + SEED + margin - low), " ")
 
-    parts = spoken.select("item_id", "doc_id", "passage", F.explode(F.transform("blocks", stretch)).alias("stretch"))
+    parts = spoken.select("item_id", "doc_id", "passage", F.explode_outer(F.transform("blocks", stretch)).alias("stretch")).where("stretch is not null")
     found = parts.mapInPandas(_judge, f"item_id {dict(items.dtypes)['item_id']}, doc_id {dict(documents.dtypes)['doc_id']}, covered long, n_words long, coverage double")
     best = found.groupBy("item_id", "doc_id").agg(F.max("covered").alias("covered"), F.max("coverage").alias("coverage"), F.max("n_words").alias("n_words"))
     return best.withColumn("in_order", F.col("n_words") > 0)

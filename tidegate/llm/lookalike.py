@@ -115,22 +115,24 @@ def _spread(text: Column) -> Column:
     return F.when(has, write_out(F.when(has, text))).otherwise(text)
 
 
-def mapped(text: Column) -> Column:
-    """The text with look-alikes, width forms, blanks and joined forms made plain and invisible characters removed."""
+def with_mapped(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Add ``out``: the text with look-alikes, width forms, blanks and joined forms made plain and invisible characters
+    removed. One column per step, so that a step that names the text twice does not compute the steps before twice."""
     single, several, _ = tables()
-    joined = {k: v for k, v in several.items() if U.decomposition(k).startswith("<")}
-    out = text = _spread(text)
-    for form, letters in joined.items():
-        out = F.replace(out, F.lit(form), F.lit(letters))
-    unjoined = F.when(text.rlike("[" + "".join(joined) + "]"), out).otherwise(text)
-    return F.when(text.rlike(PLAIN), text).otherwise(_translate(unjoined, single))
+    c = joined = F.col(out)
+    forms = {k: v for k, v in several.items() if U.decomposition(k).startswith("<")}
+    for form, letters in forms.items():
+        joined = F.replace(joined, F.lit(form), F.lit(letters))
+    df = df.withColumn(out, _spread(F.col(text_col)))
+    df = df.withColumn(out, F.when(c.rlike("[" + "".join(forms) + "]"), joined).otherwise(c))
+    return df.withColumn(out, F.when(c.rlike(PLAIN), c).otherwise(_translate(c, single)))
 
 
-def skeleton(text: Column) -> Column:
-    """The mapped text without any accent: equal for texts that look the same, and for some others."""
-    _, _, bare = tables()
-    folded = F.regexp_replace(_translate(mapped(text), bare), r"\p{M}+", "")
-    return F.when(text.rlike(PLAIN), text).otherwise(folded)
+def with_skeleton(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Add ``out``: the mapped text without any accent, equal for texts that look the same, and for some others."""
+    c = F.col(out)
+    bare = F.regexp_replace(_translate(c, tables()[2]), r"\p{M}+", "")
+    return with_mapped(df, text_col, out).withColumn(out, F.when(c.rlike(PLAIN), c).otherwise(bare))
 
 
 def _normalized(text: Column, form: str) -> Column:
@@ -168,18 +170,17 @@ def look_alikes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(classes, hashes): ``classes`` (s0, s1, t0, t1, class_id, canonical) for every distinct text of a skeleton with
     several texts; ``hashes`` (id, s0, s1, t0, t1) for every document with a text. A class id is the smallest id of
     a document with one of its texts."""
-    text = F.col(text_col)
-    bone = skeleton(text)
-    hashes = df.where(F.length(text) > 0).select(
-        F.col(id_col).alias("id"), F.xxhash64(bone).alias("s0"), F.xxhash64(F.lit(7), bone).alias("s1"),
-        F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(7), text).alias("t1"),
-    )
+    own = df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    text, bone = F.col("_text"), F.col("_bone")
+    hashes = with_skeleton(own, "_text", "_bone").select(
+        "id", F.xxhash64(bone).alias("s0"), F.xxhash64(F.lit(7), bone).alias("s1"), F.xxhash64(text).alias("t0"), F.xxhash64(F.lit(7), text).alias("t1")
+    )
     hashes = materialize(hashes, "hashes")
     many = hashes.groupBy("s0", "s1").agg(F.min("t0").alias("a"), F.max("t0").alias("b"), F.min("t1").alias("c"), F.max("t1").alias("d"))
     many = bounded(materialize(many.where("a <> b or c <> d").select("s0", "s1"), "skeletons"), MAX_BROADCAST)
     first = hashes.join(many, ["s0", "s1"]).groupBy("s0", "s1", "t0", "t1").agg(F.min("id").alias("id"))
     first = bounded(materialize(first, "firsts"), MAX_BROADCAST)
-    texts = df.select(F.col(id_col).alias("id"), mapped(text).alias("form")).join(first, "id")
+    texts = with_mapped(own.join(first, "id"), "_text", "form").drop("_text")
     # Marks in canonical order, as the collation expects them; composing them is left to it.
     forms = materialize(texts.withColumn("form", _normalized(F.col("form"), "NFD")), "forms")
     seen = _translate(F.col("form"), shields(forms))
@@ -224,6 +225,6 @@ def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grouped = hashes.join(classes, ["s0", "s1", "t0", "t1"]).select("id", "class_id", "canonical")
     firsts = alone.groupBy("s0", "s1", "t0", "t1").agg(F.min("id").alias("class_id"))
     singles = alone.join(firsts, ["s0", "s1", "t0", "t1"]).select("id", "class_id")
-    texts = df.select(F.col(id_col).alias("id"), mapped(F.col(text_col)).alias("canonical"))
-    plain = texts.join(singles, "id").select("id", "class_id", _normalized(F.col("canonical"), "NFC").alias("canonical"))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(singles, "id")
+    plain = with_mapped(texts, "_text", "canonical").select("id", "class_id", _normalized(F.col("canonical"), "NFC").alias("canonical"))
     return grouped.unionByName(plain)

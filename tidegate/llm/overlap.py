@@ -72,16 +72,17 @@ def _sides(feature: str, slack: float, step: float = STEP) -> Column:
     return F.array_distinct(F.array(_cell(F.col(feature), -slack, step), _cell(F.col(feature), slack, step)))
 
 
-def _edges(features: Sequence[str], slack: float) -> Column:
-    return reduce(lambda n, f: n + F.size(_sides(f, slack)) - 1, features, F.lit(0))
-
-
-def _probes(features: Sequence[str], slack: float, seed: int = 42) -> Column:
+def _probes(sides: Column, seed: int = 42) -> Column:
     """Hashes of every combination of cells that values within the tolerance can lie in."""
     # Built up feature by feature: each known combination is continued with one or both cells.
     start = F.array(F.lit(seed).cast("long"))
     step = lambda hashes, two: F.flatten(F.transform(hashes, lambda h: F.transform(two, lambda c: F.xxhash64(h, c))))
-    return F.aggregate(F.array(*(_sides(f, slack) for f in features)), start, step)
+    return F.aggregate(sides, start, step)
+
+
+def _edges(sides: Column) -> Column:
+    """Number of features that lie near a cell's edge."""
+    return F.size(F.flatten(sides)) - F.size(sides)
 
 
 def _key(features: Sequence[str], seed: int = 42) -> Column:
@@ -122,32 +123,36 @@ def _refined(t: DataFrame, e: DataFrame, features: Sequence[str], slack: float)
 def _candidates(base: DataFrame, features: Sequence[str], slack: float) -> DataFrame:
     """(t0, t1, e0, e1): pairs of distinct vectors of a training and an evaluation row in one cell."""
 
-    def rows(which: str, p: str, keys: Column, *keep: str) -> DataFrame:
-        own = base.where(F.col("side") == which)
+    def rows(df: DataFrame, which: str, p: str, keys: Column, *keep: str) -> DataFrame:
+        own = df.where(F.col("side") == which)
         return own.select(F.col("h0").alias(f"{p}0"), F.col("h1").alias(f"{p}1"), keys.alias("key"), *keep)
 
     most = MAX_PROBES.bit_length() - 1
-    probes = F.when(_edges(features, slack) <= most, _probes(features, slack)).otherwise(F.array().cast("array<bigint>"))
-    t = materialize(rows("train", "t", _key(features)).distinct(), "train")
-    e = materialize(rows("eval", "e", F.explode(probes)).distinct(), "eval")
+    sided = base.withColumn("_sides", F.array(*(_sides(f, slack) for f in features)))
+    probes = F.when(_edges(F.col("_sides")) <= most, _probes(F.col("_sides")))
+    t = materialize(rows(base, "train", "t", _key(features)).distinct(), "train")
+    # Outer: a row near too many edges stays, without a key.
+    every = materialize(rows(sided, "eval", "e", F.explode_outer(probes)).distinct(), "eval")
+    e = every.where("key is not null")
     dense = materialize(_dense(t, e), "cells")
     if dense.isEmpty():
         out = _paired(t, e)
     else:
         cells = bounded(dense, MAX_BROADCAST)
-        wide = lambda which, p, keys: materialize(rows(which, p, keys, *features).join(cells, "key", "left_semi").dropDuplicates([f"{p}0", f"{p}1", "key"]), "dense")
+        wide = lambda df, which, p, keys: materialize(rows(df, which, p, keys, *features).join(cells, "key", "left_semi").dropDuplicates([f"{p}0", f"{p}1", "key"]), "dense")
         out = _paired(t.join(cells, "key", "left_anti"), e.join(cells, "key", "left_anti"))
-        out = out.unionByName(_refined(wide("train", "t", _key(features)), wide("eval", "e", F.explode(probes)), features, slack))
+        out = out.unionByName(_refined(wide(base, "train", "t", _key(features)), wide(sided, "eval", "e", F.explode_outer(probes)), features, slack))
 
-    many = base.where((F.col("side") == "eval") & (_edges(features, slack) > most))
+    many = every.where("key is null").select(F.col("e0").alias("h0"), F.col("e1").alias("h1"))
     if many.isEmpty():
         return out
     halves = features[: len(features) // 2], features[len(features) // 2 :]
-    # At most half of the features have an edge in the better half: its probes are at most the root of all.
-    first = _edges(halves[0], slack) <= _edges(halves[1], slack)
-    keys = F.when(first, _probes(halves[0], slack, 1)).otherwise(_probes(halves[1], slack, 2))
-    few = many.select(F.col("h0").alias("e0"), F.col("h1").alias("e1"), F.explode(keys).alias("key")).distinct()
-    both = rows("train", "t", F.explode(F.array(_key(halves[0], 1), _key(halves[1], 2))))
+    # At most half of the edges lie in the better half: its probes are at most the root of all.
+    first, second = (F.slice("_sides", at + 1, len(half)) for at, half in zip((0, len(halves[0])), halves))
+    keys = F.when(_edges(first) <= _edges(second), _probes(first, 1)).otherwise(_probes(second, 2))
+    few = sided.where(F.col("side") == "eval").join(bounded(many, MAX_BROADCAST), ["h0", "h1"])
+    few = few.select(F.col("h0").alias("e0"), F.col("h1").alias("e1"), F.explode_outer(keys).alias("key")).distinct()
+    both = rows(base, "train", "t", F.explode(F.array(_key(halves[0], 1), _key(halves[1], 2))))
     return out.unionByName(_paired(both, bounded(materialize(few, "edges"), MAX_BROADCAST)).distinct())
 
 
