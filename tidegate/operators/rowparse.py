@@ -57,7 +57,8 @@ class ParsedRecords:
     @property
     def failures(self) -> DataFrame:
         """(id, reason, column_name, edits), one row per record and failure."""
-        return self.judged.select(self.id_col, F.inline("_faults"))
+        # Outer, since for the inner form the optimiser parses the records once more to filter those without faults.
+        return self.judged.select(self.id_col, F.inline_outer("_faults")).where("reason is not null")
 
     @property
     def loaded(self) -> DataFrame:
