@@ -81,6 +81,22 @@ def test_giant_component_is_not_cut(spark):
     assert all(abs(share[s] / 1000 - w) < 0.03 for s, w in SPLITS.items()), share
 
 
+def test_many_strata_and_shards(spark, monkeypatch):
+    """Ten thousand strata over several shards: the tree's tasks stay small and the shares hold."""
+    from tidegate.llm import grouping as g
+
+    seen = []
+    monkeypatch.setattr(g, "FAN", 32)
+    monkeypatch.setattr(g, "materialize", lambda df, name, real=g.materialize: (seen.append((name, out := real(df, name))), out)[1])
+    rows = [(i, None, None, None, f"a{i % 10_000}", "m") for i in range(12_000)]
+    got = assign_splits(frame(spark, rows), "rid", keys(), {"attack": F.col("attack")}, SPLITS, shard_components=5000).cache()
+    assert got.count() == len(rows) and got.select("record_id").distinct().count() == len(rows)
+    share = {r.split_name: r["count"] / len(rows) for r in got.groupBy("split_name").count().collect()}
+    assert all(abs(share[s] - w) < 0.001 for s, w in SPLITS.items()), share
+    sizes = [df.groupBy("parent_stratum", "parent_shard").agg(F.count_distinct("stratum", "shard").alias("n")).agg(F.max("n")).first()[0] for name, df in seen if name == "moves"]
+    assert len(sizes) >= 4 and max(sizes) < 3 * 32, sizes
+
+
 def test_empty(spark):
     assert assign_splits(frame(spark, []), "rid", keys(), {"attack": F.col("attack")}, SPLITS).count() == 0
     assert tied_records(frame(spark, []), "rid", keys()).count() == 0

@@ -65,3 +65,15 @@ def test_empty_and_repeated_lines(spark):
     assert quotas(availability(pop(spark, [(1, 1, "a", "s")])), spark.createDataFrame([], TARGETS)).count() == 0
     twice = quotas(availability(pop(spark, [(i, i, "a", "s") for i in range(7)])), spark.createDataFrame(lines, TARGETS))
     assert sum(r.quota for r in twice.collect()) == 7 and unmet(twice).count() == 0
+
+
+def test_two_lines_for_one_group_get_their_sum(spark):
+    """Strata of ten rows each and two lines that need ten: all twenty rows are drawn."""
+    from tidegate.llm.quotas import availability, draw, quotas
+
+    rows = spark.createDataFrame([("p", i, "g", "a" if i < 10 else "b") for i in range(20)], "population string, id long, grp_slug string, stratum string")
+    plan = spark.createDataFrame([(1, "p", "G", 500_000, 10, 20), (1, "p", "g ", 500_000, 10, 20)], "plan_id long, population string, grp string, target_ppm long, min_rows long, sample_size long")
+    quota = quotas(availability(rows), plan)
+    per = {r.grp: r.q for r in quota.groupBy("grp").agg({"quota": "sum"}).withColumnRenamed("sum(quota)", "q").collect()}
+    assert per == {"G": 10, "g ": 10}
+    assert sorted(r.id for r in draw(rows, quota).collect()) == list(range(20))

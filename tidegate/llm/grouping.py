@@ -4,10 +4,11 @@ Records tied by a shared key, directly or through others, form a component (``co
 into many equal bins by largest differencing, bins are given whole to the splits by target proportion.
 
 The balance is made per stratum (a component's most frequent combination of the spread columns), so that every bin
-gets its share of each. Within a stratum equal weights are dealt to the bins in whole rounds, which is exact and
-distributed; only the remainders (fewer than one round per weight and shard) are differenced: the two partitions of
-greatest spread are combined, fullest bin with emptiest, until one is left. The strata's partitions are then
-combined the same way.
+gets its share of each, and per shard of a stratum, which bounds what one task sees. Within a shard equal weights are
+dealt to the bins in whole rounds; only the remainders (fewer than one round per weight) are differenced: the two
+partitions of greatest spread are combined, fullest bin with emptiest, until one is left. The shards' partitions are
+then combined the same way, as a tree: ``FAN`` of one stratum at a time, then ``FAN`` strata at a time, until one
+partition is left. A task of the tree sees ``FAN`` x bins numbers, whatever the number of shards and strata.
 
 Defined cases: a null key, or for text keys one that expresses absence, ties nothing; keys are compared without case
 and surrounding blanks; a record without ties is a component of its own; repeated ids are one record; null spread
@@ -28,6 +29,7 @@ from tidegate.scratch import materialize
 
 # Ways to write that a session is not known (lower case).
 ABSENT = ["", "unknown", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "missing", "undefined", "not available", "-", "--", "?"]
+FAN = 128  # partitions that one task of the tree combines, on average
 BLANKS = " \t\r\n\x0b\x0c\u00a0\u2007\u202f\u3000"
 
 
@@ -95,6 +97,44 @@ def allocate(bin_weights: Sequence[float], shares: Sequence[float]) -> list[int]
     return out
 
 
+NODE = ["stratum", "shard"]
+
+
+def _merge(nodes: DataFrame, sums: DataFrame, place: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
+    """One level of the tree. ``nodes`` adds ``parent_stratum`` and ``parent_shard`` to each node; ``sums`` is (node,
+    bin, weight), ``place`` (leaf, node, bin). Returns both for the parents."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(key, dict(zip(g["bin"], g["weight"].astype(float)))) for key, g in pdf.groupby(NODE, sort=True)]
+        moves = combine([p for _, p in parts], bins)
+        return pd.DataFrame([(*key, b, int(moves[i, b])) for i, (key, _) in enumerate(parts) for b in range(bins)], columns=[*NODE, "bin", "to"])
+
+    parents = ["parent_stratum", "parent_shard"]
+    moved = sums.join(nodes, NODE).groupBy(*parents).applyInPandas(run, "stratum string, shard long, bin long, to long")
+    moved = materialize(moved.join(nodes, NODE), "moves")
+    new = {"parent_stratum": "stratum", "parent_shard": "shard", "to": "bin"}
+    step = [*NODE, "bin"]
+    sums = moved.join(sums, step).groupBy(*parents, "to").agg(F.sum("weight").alias("weight")).withColumnsRenamed(new)
+    place = place.join(moved, step).drop(*step).withColumnsRenamed(new)
+    return materialize(sums, "sums"), materialize(place, "places")
+
+
+def _tree(sums: DataFrame, bins: int) -> tuple[DataFrame, DataFrame]:
+    """(weights of the final bins, final bin of every leaf's bin: leaf_stratum, leaf_shard, leaf_bin, bin)."""
+    leaf = {"stratum": "leaf_stratum", "shard": "leaf_shard", "bin": "leaf_bin"}
+    place = sums.select("stratum", "shard", "bin", *(F.col(c).alias(n) for c, n in leaf.items()))
+    while True:
+        shards, strata = sums.agg(F.max("shard") + 1, F.count_distinct("stratum")).first()
+        if not strata or (shards == 1 and strata == 1):
+            return sums, place.select(*leaf.values(), "bin")
+        nodes = sums.select(*NODE).distinct()
+        if shards > 1:
+            up = F.col("stratum"), F.pmod(F.xxhash64(F.lit(shards), "shard"), F.lit(-(-shards // FAN)))
+        else:
+            up = F.concat(F.lit("#"), F.pmod(F.xxhash64(F.lit(strata), "stratum"), F.lit(-(-strata // FAN))).cast("string")), F.lit(0).cast("long")
+        sums, place = _merge(nodes.withColumns(dict(zip(("parent_stratum", "parent_shard"), up))), sums, place, bins)
+
+
 def assign_splits(
     df: DataFrame,
     id_col: str,
@@ -106,9 +146,7 @@ def assign_splits(
 ) -> DataFrame:
     """(record_id, root_id, split_name), one row per distinct id.
 
-    Shares of the bins must be able to express the splits' proportions (20 bins for 70/15/15). Only the remainders
-    of the deal are differenced in one task per stratum: fewer than ``bins`` per weight and shard, at most 1,024 shards.
-    """
+    Shares of the bins must be able to express the splits' proportions (20 bins for 70/15/15)."""
     base = df.where(F.col(id_col).isNotNull())
     combo = F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in spread.values()))
     records = base.select(F.col(id_col).alias("record_id"), combo.alias("combo")).groupBy("record_id").agg(F.min("combo").alias("combo"))
@@ -119,43 +157,31 @@ def assign_splits(
     comps = records.groupBy("root_id", "combo").agg(F.count(F.lit(1)).alias("n"))
     comps = comps.groupBy("root_id").agg(F.sum("n").alias("weight"), F.max(F.struct("n", "combo")).alias("top"))
     comps = materialize(comps.select("root_id", "weight", F.col("top.combo").alias("stratum")), "components")
-    shards = max(1, min(1024, -(-comps.count() // shard_components)))
+    shards = max(1, -(-comps.count() // shard_components))
 
-    shard = F.pmod(F.xxhash64("root_id"), F.lit(shards))
-    same = Window.partitionBy("stratum", "weight", "shard")
+    same = Window.partitionBy(*NODE, "weight")
     dealt = (
-        comps.withColumn("shard", shard)
+        comps.withColumn("shard", F.pmod(F.xxhash64("root_id"), F.lit(shards)))
         .withColumn("at", F.row_number().over(same.orderBy(F.xxhash64(F.lit(1), "root_id"), "root_id")) - 1)
         .withColumn("rounds", F.floor(F.count(F.lit(1)).over(same) / bins))
-        .withColumn("bin", F.when(F.col("at") < F.col("rounds") * bins, F.col("at") % bins))
-        .drop("at", "rounds", "shard")
+        .withColumn("bin", F.when(F.col("at") < F.col("rounds") * bins, F.col("at") % bins).cast("long"))
+        .select("root_id", *NODE, "weight", "bin")
     )
     dealt = materialize(dealt, "dealt")
 
     def balance(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "root_id"], ascending=[False, True], kind="stable")
-        return pdf.assign(bin=difference(pdf["weight"].tolist(), bins).astype("int64"))[["stratum", "root_id", "weight", "bin"]]
-
-    rest = (
-        dealt.where("bin is null").groupBy("stratum")
-        .applyInPandas(balance, f"stratum string, root_id {dict(comps.dtypes)['root_id']}, weight long, bin long")
-    )
-    placed = materialize(dealt.where("bin is not null").select("stratum", "root_id", "weight", F.col("bin").cast("long")).unionByName(rest), "placed")
-
-    names, shares = list(splits), list(splits.values())
-
-    def to_splits(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(s, dict(zip(g["bin"], g["weight"].astype(float)))) for s, g in pdf.groupby("stratum", sort=True)]
-        moves = combine([p for _, p in parts], bins)
-        totals = np.zeros(bins)
-        for i, (_, part) in enumerate(parts):
-            for b, w in part.items():
-                totals[moves[i, b]] += w
-        split = allocate(totals.tolist(), shares)
-        rows = [(s, b, names[split[moves[i, b]]]) for i, (s, _) in enumerate(parts) for b in range(bins)]
-        return pd.DataFrame(rows, columns=["stratum", "bin", "split_name"])
-
-    sums = placed.groupBy("stratum", "bin").agg(F.sum("weight").alias("weight"))  # strata x bins rows
-    chosen = sums.withColumn("_all", F.lit("")).groupBy("_all").applyInPandas(to_splits, "stratum string, bin long, split_name string")
-    where = placed.join(chosen, ["stratum", "bin"]).select("root_id", "split_name")
-    return records.join(where, "root_id").select("record_id", "root_id", "split_name")
+        return pdf.assign(bin=difference(pdf["weight"].tolist(), bins).astype("int64"))
+
+    rest = dealt.where("bin is null").groupBy(*NODE).applyInPandas(balance, dealt.schema)
+    placed = materialize(dealt.where("bin is not null").unionByName(rest), "placed")
+    sums = materialize(placed.groupBy(*NODE, "bin").agg(F.sum("weight").alias("weight")), "sums")
+    final, where = _tree(sums, bins)
+
+    weights = {r.bin: r.weight for r in final.groupBy("bin").agg(F.sum("weight").alias("weight")).collect()}  # one row per bin
+    names, order = list(splits), sorted(weights)
+    chosen = allocate([weights[b] for b in order], list(splits.values()))
+    split = F.element_at(F.create_map(*(F.lit(v) for b, s in zip(order, chosen) for v in (b, names[s]))), F.col("bin")) if order else F.lit(None).cast("string")
+    leaf = where.select(F.col("leaf_stratum").alias("stratum"), F.col("leaf_shard").alias("shard"), F.col("leaf_bin").alias("bin"), split.alias("split_name"))
+    roots = placed.join(leaf, [*NODE, "bin"]).select("root_id", "split_name")
+    return records.join(roots, "root_id").select("record_id", "root_id", "split_name")

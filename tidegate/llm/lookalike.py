@@ -102,6 +102,12 @@ def _translate(text: Column, table: dict[str, str]) -> Column:
 PLAIN = r"\A[\x20-\x7e\t\n\r]*\z"
 
 
+def _any_of(chars: list[str]) -> str:
+    """Class of the characters, wider where that makes it short: it only decides what is looked at closer."""
+    low, high = [c for c in chars if c < "\u1e00"], [c for c in chars if c >= "\u1e00"]
+    return "[" + "".join(low) + (f"{min(high)}-{max(high)}" if high else "") + "]"
+
+
 def _spread(text: Column) -> Column:
     """Composed look-alikes whose Latin counterpart has no composed form, written out as base and marks. They are rare
     and many, so the texts that have one leave the JVM instead of a chain of replacements running over all."""
@@ -111,7 +117,7 @@ def _spread(text: Column) -> Column:
     def write_out(texts: pd.Series) -> pd.Series:
         return texts.str.translate(str.maketrans(wide))
 
-    has = text.rlike("[" + "".join(wide) + "]")
+    has = ~text.rlike(PLAIN) & text.rlike(_any_of(list(wide)))
     return F.when(has, write_out(F.when(has, text))).otherwise(text)
 
 
@@ -124,7 +130,7 @@ def with_mapped(df: DataFrame, text_col: str, out: str) -> DataFrame:
     for form, letters in forms.items():
         joined = F.replace(joined, F.lit(form), F.lit(letters))
     df = df.withColumn(out, _spread(F.col(text_col)))
-    df = df.withColumn(out, F.when(c.rlike("[" + "".join(forms) + "]"), joined).otherwise(c))
+    df = df.withColumn(out, F.when(~c.rlike(PLAIN) & c.rlike(_any_of(list(forms))), joined).otherwise(c))
     return df.withColumn(out, F.when(c.rlike(PLAIN), c).otherwise(_translate(c, single)))
 
 

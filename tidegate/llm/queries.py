@@ -73,6 +73,26 @@ def p4_balance(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("split_name", "c.attack", "c.model", "n_records", (F.col("n_records") / F.col("n_all")).alias("share"))
 
 
+def p4_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What the assignment must keep, as numbers: every record in one split, no component cut, shares met."""
+    spread = F.lower(F.trim("attack")).alias("attack"), F.lower(F.trim("model")).alias("model")
+    rows = read_table(spark, d, "adv_rows").select("record_id", *spread).dropDuplicates(["record_id"])
+    given = g4.materialize(rows.join(p4_split(spark, d), "record_id", "left"), "given")
+    cut = given.groupBy("root_id").agg(F.count_distinct("split_name").alias("n")).where("n > 1")
+    n, target = F.count(F.lit(1)), F.element_at(F.create_map(*(F.lit(v) for kv in SPLITS.items() for v in kv)), F.col("split_name"))
+    off = lambda *by: given.groupBy(*by).agg(*(F.count_if(F.col("split_name") == s).alias(s) for s in SPLITS), n.alias("n"))
+    worst = lambda df: df.select(F.greatest(*(F.abs(F.col(s) / F.col("n") - w) for s, w in SPLITS.items())).alias("off"))
+    parts = {
+        "records": given.agg(n.alias("value")),
+        "records without a known split": given.where(target.isNull()).agg(n.alias("value")),
+        "components in two splits": cut.agg(n.alias("value")),
+        "splits off by more than one percent": worst(off()).agg(F.count_if(F.col("off") > 0.01).alias("value")),
+        "large attack and model pairs off by more than five percent": worst(off("attack", "model").where("n >= 200")).agg(F.count_if(F.col("off") > 0.05).alias("value")),
+    }
+    out = [df.select(F.lit(name).alias("property"), "value") for name, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
 # 5: samples -----------------------------------------------------------------------------------------------------
 
 
@@ -105,6 +125,23 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return q5.draw(rows, quota)
 
 
+def p5_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Per plan and group: rows asked for and there, and whether the quotas' sum is the target rounded down or up, at
+    least the minimum, as far as there are rows."""
+    quota = p5_quotas(spark, d)
+    line = ["plan_id", "grp_slug", "grp", "min_rows", "needed", "available"]
+    per = quota.groupBy(*line, "target").agg(F.sum("quota").alias("quota"))
+    low = F.greatest("min_rows", F.floor(F.col("target") + 1e-9))
+    kept = F.col("quota").between(F.least(low, "available"), F.least("needed", "available"))
+    return per.select("plan_id", "grp_slug", "needed", "available", kept.alias("kept"))
+
+
+def p5_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Rows drawn per plan, all different."""
+    drawn = p5_sample(spark, d)
+    return drawn.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("population", "id").alias("n_different"))
+
+
 # 6: containers --------------------------------------------------------------------------------------------------
 
 
@@ -125,6 +162,19 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: documents and tokens in containers, none of them too full, only too long documents cut, and whether
+    99 in 100 tokens of the capacity are used."""
+    placed = k6.materialize(p6_assignment(spark, d), "placed")
+    docs = placed.groupBy("bin_kind", "doc_id").agg(F.sum("size").alias("tokens"), F.max("pieces").alias("pieces"), F.first("capacity").alias("capacity"), F.count(F.lit(1)).alias("n"))
+    whole = (F.col("pieces") == F.ceil(F.col("tokens") / F.col("capacity"))) & (F.col("n") == F.col("pieces"))
+    per = docs.groupBy("bin_kind").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("tokens").alias("tokens"), F.count_if(~whole).alias("n_wrongly_cut"))
+    fill = k6.fills(placed).groupBy(F.col("bin_kind").alias("k")).agg(
+        F.count_if(F.col("unused") < 0).alias("n_too_full"), ((F.sum("used") / F.sum("capacity")) >= 0.99).alias("filled")
+    )
+    return per.join(fill, per["bin_kind"] == fill["k"]).drop("k")
+
+
 # 7: leaks -------------------------------------------------------------------------------------------------------
 
 

