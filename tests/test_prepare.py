@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,23 @@ def test_class_table_total(spark):
     df = spark.createDataFrame([(0, "x", "train"), (0, "x", "val"), (1, "y", "train")], "code int, name string, split_name string")
     rows = {(r.code, r.name): (r.n_rows, r.n_train, r.n_val) for r in prepare.class_table(df, ["code", "name"], "split_name", ["train", "val"]).collect()}
     assert rows == {(0, "x"): (2, 1, 1), (1, "y"): (1, 1, 0), (None, None): (3, 2, 1)}
+
+
+@pytest.mark.parametrize("spread", ["even", "heavy", "ties"])
+def test_brackets_are_narrowed_until_one_task_can_rank_them(spark, monkeypatch, spread):
+    """With a bracket of at most 20 values the sketch is repeated; the quantiles stay exact."""
+    from tidegate.operators import order
+
+    monkeypatch.setattr(order, "SMALL", 10)
+    monkeypatch.setattr(order, "WIDEST", 20)
+    rounds = []
+    monkeypatch.setattr(order, "_narrowed", lambda *a, real=order._narrowed: (rounds.append(1), real(*a))[1])
+    rng = np.random.default_rng(4)
+    x = {"even": rng.random(30_000), "heavy": rng.lognormal(0, 4, 30_000), "ties": rng.integers(0, 5, 30_000).astype(float)}[spread]
+    g = rng.integers(0, 2, len(x))
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)], "g long, x double")
+    probs = [0.0, 0.01, 0.5, 0.999, 1.0]
+    got = {r.g: r.q for r in order.exact_quantiles(df, ["g"], "x", probs).collect()}
+    assert rounds and all(got[i] == pytest.approx(np.quantile(x[g == i], probs)) for i in (0, 1))
+    running = order.running_sums(df.groupBy("x").agg(F.count(F.lit(1)).alias("n")), [], "x", {"upto": "n"}).agg(F.max("upto")).first()[0]
+    assert running == 30_000

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegate.functions.numeric import safe_divide
 from tidegate.operators.order import running_sums
+from tidegate.scratch import materialize
 from tidegate.sources.tables import bounded
 
 
@@ -55,17 +56,10 @@ def operating_points(benign: DataFrame, score: str, fpr: float, by: Sequence[str
     sizes = freq.groupBy(*(F.col(c).alias(f"_z{i}") for i, c in enumerate(by))).agg(F.sum("_n").alias("n_benign"))
     same = [F.col(c).eqNullSafe(F.col(f"_z{i}")) for i, c in enumerate(by)] or [F.lit(True)]
     k = F.floor(F.col("n_benign") * F.lit(fpr))
-    joined = sums.join(bounded(sizes, 100_000), same)
+    joined = sums.join(bounded(materialize(sizes, "sizes"), 100_000), same)
     return joined.groupBy(*by).agg(F.max("n_benign").alias("n_benign"), F.max(F.when(F.col("_upto") > k, F.col("_s"))).alias("flag_above"))
 
 
-def threshold_for_fpr(scores: Sequence[float], fpr: float) -> float:
-    """Smallest threshold t with share(p >= t) <= fpr, for scores already on the driver."""
-    s = sorted(scores, reverse=True)
-    k = math.floor(fpr * len(s))
-    return math.nextafter(s[k], math.inf) if k < len(s) else 0.0
-
-
 def bootstrap_ci(df: DataFrame, hit: Column, by: Sequence[str], n_boot: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Percentile bootstrap of a boolean mean per group; NaN for an empty group.
 

@@ -408,6 +408,22 @@ def perturbed(network: Network, attack: str, x: np.ndarray, y: np.ndarray, ids:
     raise ValueError(f"unknown attack {attack!r}; known: bim, deepfool, fgsm, pgd")
 
 
+def perturbed_rows(df: DataFrame, network: Network, attacks: dict[str, dict], id_col: str, x_col: str, y_col: str) -> DataFrame:
+    """(id, attack, x_adv): every row with a vector and a label, perturbed by each of the attacks."""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                x, y = np.stack(part[x_col].to_numpy()).astype(float), part[y_col].to_numpy().astype(int)
+                for attack, settings in attacks.items():
+                    adv = perturbed(network, attack, x, y, part[id_col].tolist(), **settings)
+                    yield pd.DataFrame({id_col: part[id_col], "attack": attack, "x_adv": list(adv)})
+
+    known = df.where(F.col(x_col).isNotNull() & F.col(y_col).isNotNull())
+    return known.select(id_col, x_col, y_col).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, attack string, x_adv array<double>")
+
+
 CELL = "attack string, model string, y int, pred_clean int, pred_adv int, linf double, l2 double, n_changed int"
 
 

@@ -11,7 +11,10 @@ from tidegate.operators.scan import float32
 
 
 def _bit(label: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), label.cast("int"))
+    """A label as one bit; one outside 0..62, which would fall onto another's bit, fails the job."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), label.cast("int"))
+    outside = F.raise_error(F.concat(F.lit("labels must lie in 0..62, not "), label.cast("string"))).cast("long")
+    return F.when(label.between(0, 62) | label.isNull(), bit).otherwise(outside)
 
 
 def overlap_by_label(train: DataFrame, test: DataFrame, features: Sequence[str], y_col: str, by: str) -> DataFrame:

@@ -6,6 +6,7 @@ Each has a twin in SQL, written independently of the columns, from which the que
 from __future__ import annotations
 
 import math
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,6 +16,8 @@ from tidegate.operators.rules import Rule, RuleSet, calibrate_distribution, mine
 from tidegate.operators.scaling import Scaling
 from tidegate.operators.scorers import Linear
 from tidegate.schema import FEATURES
+from tidegate.scratch import remember, shared_folder
+from tidegate.sources.csvscan import exists, fingerprint, read_text, source_state, write_text
 from tidegate.sources.tables import bounded, read_table
 
 # Columns under signed log1p, indicator columns of protocol groups, and the rule candidates.
@@ -31,6 +34,7 @@ CANDIDATES = [
     Rule("product", "tot_sum ~= tot_size * pkt_avg", ["tot_sum", "tot_size", "pkt_avg"]),
 ]
 MEMBERS = ["mlp", "cnn", "lstm"]
+SAMPLE = 20_000  # labelled rows that a model is fitted on
 
 
 def flows(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -86,6 +90,14 @@ def scored(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return out.withColumns({f"p_{m}": member(m).prob(F.col("x")) for m in MEMBERS})
 
 
+def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scaled vectors ``x`` of training and of test rows."""
+    rows = flows(spark, d)
+    s = scaling(rows.where("split_name = 'train'"))
+    made = rows.select("row_id", "split_name", "category", "y", s.vector().alias("x"))
+    return made.where("split_name = 'train'"), made.where("split_name = 'test'")
+
+
 SCORED_SQL = "scored AS (SELECT *, " + ", ".join(f"{prob_sql(m)} AS p_{m}" for m in MEMBERS) + " FROM scaled)"
 SCORE_SQL = f"{FLOWS_SQL}, {PARAMS_SQL}, {SCALED_SQL}, {SCORED_SQL}"
 
@@ -97,6 +109,21 @@ def trusted(rows: DataFrame, split: str) -> DataFrame:
 
 
 def mined(rows: DataFrame) -> RuleSet:
+    """``mine_all`` once per content of the tables behind ``rows``: the rules are stored as JSON in the shared folder,
+    under a key of the files' folders, sizes and times and of what is mined."""
+    spark = rows.sparkSession
+    folders = sorted({f if f.endswith(".parquet") else f.rpartition("/")[0] for f in rows.inputFiles()})
+    key = fingerprint({f: source_state(spark, f) for f in folders}, {"rules": [asdict(r) for r in CANDIDATES], "log1p": LOG1P, "groups": INDICATORS, "columns": FEATURES})
+    path = f"{shared_folder(spark)}/tidegate-rules-{key}.json"
+    if exists(spark, path):
+        return RuleSet.from_json(read_text(spark, path))
+    rules = mine_all(rows)
+    write_text(spark, path, rules.to_json())
+    remember(spark, path)
+    return rules
+
+
+def mine_all(rows: DataFrame) -> RuleSet:
     """Rules of benign training rows, thresholds from benign validation rows (training rows for small groups)."""
     train, val = trusted(rows, "train"), trusted(rows, "val")
     rules = mine(train, scaling(rows.where("split_name = 'train'")), CANDIDATES, INDICATORS)

@@ -40,11 +40,13 @@ def prepare(spark: SparkSession, csv: str, labels: DataFrame, out: str, settings
     """CSV, labels -> duplicates out, capped per class, split, near-constant columns out, log1p, min-max, Parquet.
 
     The selected rows are cached under ``out/selected`` by a fingerprint of the source and of all settings that decide
-    them. The first of equal rows stays (by a row id from the scan order of the input's splits)."""
+    them. A row's id is the hash of its content, so that another split of the files draws the same sample; of rows
+    equal at model precision the one with the smallest id stays."""
     s = settings or PrepareSettings()
     raw = csvscan.read_flows(spark, csv, s.label, s.drop)
     columns = [c for c in raw.columns if c != s.label]
-    coded = scan.with_codes(raw, s.label, labels).withColumn("row_id", F.monotonically_increasing_id())
+    content = F.xxhash64(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in raw.columns))
+    coded = scan.with_codes(raw, s.label, labels).withColumn("row_id", content)
     key = csvscan.fingerprint(csvscan.source_size(spark, csv), {"cap": s.cap, "keep_all": list(s.keep_all), "seed": s.seed, "drop": list(s.drop), "labels": sorted(map(tuple, labels.select("slug", "code").collect()))})
 
     def select() -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegate.operators import folds, relate, sample
-from tidegate.operators.scorers import Linear
-from tidegate.plans.base import FLOWS_SQL, flows, member, rounded, scaling, unpivot_sql
+from tidegate.functions.numeric import all_finite
+from tidegate.operators import folds, networks as N, perturb as P, relate, sample
+from tidegate.operators.metrics import binary_metrics, or_ensemble
+from tidegate.operators.scorers import Linear, fit_forest
+from tidegate.plans.base import FLOWS_SQL, SAMPLE, flows, member, rounded, scaling, unpivot_sql, vectors
 from tidegate.schema import FEATURES
+from tidegate.scratch import materialize
 from tidegate.sources.tables import read_table
 
 WIDE = ["flow_duration", "header_length", "rate", "srate", "tot_sum", "pkt_min", "pkt_avg", "pkt_max", "pkt_std", "tot_size", "variance"]
@@ -51,18 +54,21 @@ def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """Test attack rows as perturbation cells of two attacks and two members (vectors are not needed here)."""
-    rows = flows(spark, d).where("split_name = 'test' and y = 1").select(F.col("row_id").alias("source_id"))
-    cells = F.array(*(F.struct(F.lit(a).alias("attack"), F.lit(m).alias("model")) for a in ("FGSM", "BIM") for m in ("mlp", "cnn")))
-    v = F.array(F.col("source_id").cast("double"))
-    return rows.select("source_id", F.inline(cells)).withColumn("x_adv", v).withColumn("x_clean", v)
+    """Test attack rows as perturbation cells of two attacks and two members."""
+    rows = flows(spark, d)
+    x, s = F.col("x_clean"), scaling(rows.where("split_name = 'train'"))
+    test = rows.where("split_name = 'test' and y = 1").select(F.col("row_id").alias("source_id"), "y", s.vector().alias("x_clean"))
+    cells = F.array(*(F.struct(F.lit(a.upper()).alias("attack"), F.lit(m).alias("model"), P.perturb(a, x, F.col("y"), member(m), eps=0.1).alias("x_adv")) for a in ("fgsm", "bim") for m in ("mlp", "cnn")))
+    return test.select("source_id", "x_clean", F.inline(cells))
 
 
 def discriminator_dataset(spark: SparkSession, d: str) -> DataFrame:
     cells = _cells(spark, d)
     folds.check_cells_aligned(cells, "source_id")
-    pool = flows(spark, d).where("split_name in ('test', 'train')").select(F.col("row_id").alias("source_id"), F.array(F.col("row_id").cast("double")).alias("x"), "y")
-    made = folds.discriminator_dataset(cells, pool, "auto", True)
+    rows = flows(spark, d)
+    s = scaling(rows.where("split_name = 'train'"))
+    pool = rows.where("split_name in ('test', 'train')").select(F.col("row_id").alias("source_id"), s.vector().alias("x"), "y")
+    made = folds.discriminator_dataset(cells, pool, "auto", True).where(F.size("x") == len(FEATURES))
     return made.groupBy("origin", "attack", "model", "y").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("group_key").alias("n_groups"))
 
 
@@ -111,12 +117,55 @@ def attack_success(spark: SparkSession, d: str) -> DataFrame:
 
 def augment_pool(spark: SparkSession, d: str) -> DataFrame:
     """Training rows and adversarial ones worth a fifth of them, the held-out attack left out."""
-    clean = flows(spark, d).where("split_name = 'train'").select(F.col("row_id").alias("id"), F.array(F.lit(0.0)).alias("x"), "y")
-    pool = _records(spark, d).where("origin = 'adv'").select(F.col("record_id").alias("id"), F.array(F.lit(0.0)).alias("x"), "attack", "model")
+    rows = flows(spark, d)
+    s = scaling(rows.where("split_name = 'train'"))
+    clean = rows.where("split_name = 'train'").select(F.col("row_id").alias("id"), F.slice(s.vector(), 1, 8).alias("x"), "y")
+    pool = _records(spark, d).where("origin = 'adv'").select(F.col("record_id").alias("id"), F.col("x_adv").cast("array<double>").alias("x"), "attack", "model")
     made = folds.augmented(clean, folds.select_pool(pool, "mlp", ["DeepFool"]), 0.02, "id")
     return made.groupBy("origin", "attack", "model", "y").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("id").alias("ids"))
 
 
+def discriminator_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Forests that tell adversarial records from clean ones, one per hold-out: a third of the groups at random, and
+    each attack and each model left out. One row per hold-out with the rates on what was held out."""
+    rows = _records(spark, d).select("record_id", "group_key", "attack", "model", F.col("y").cast("double").alias("y"), *(F.col("x_adv")[i].cast("double").alias(f"x{i}") for i in range(8)))
+    rows = materialize(rows.where(all_finite([f"x{i}" for i in range(8)])), "records")
+    held = [("random", "")] + [("attack", a) for a in folds.attacks(rows)] + [("model", m) for m in folds.models(rows)]
+    out = []
+    for field, name in held:
+        if field == "random":
+            fold = sample.grouped_holdout(rows, "group_key", 0.3)
+        else:
+            fold = sample.leave_one_out(rows, "group_key", field, name, F.col("y") == 1, 0.3)
+        train = sample.ranked(fold.where("not in_test"), [], "record_id", F.least("n_stratum", F.lit(SAMPLE)), 42)
+        test = fit_forest(train, [f"x{i}" for i in range(8)], "y").transform(fold.where("in_test"))
+        row = binary_metrics(test, F.col("y"), F.col("prediction")).first()
+        out.append((field, name, row.n_rows, row.recall, row.fpr, row.balanced_accuracy))
+    return rounded(spark.createDataFrame(out, "protocol string, held string, n_rows long, catch_rate double, fpr double, balanced_accuracy double"))
+
+
+def ensemble_retrain(spark: SparkSession, d: str) -> DataFrame:
+    """Networks trained on clean rows and again on rows augmented with perturbed ones (deepfool held out): rates on
+    clean test rows and on perturbed ones, for each network and for the OR of the retrained."""
+    train, test = vectors(spark, d)
+    attacks = {"fgsm": {"eps": 0.1}, "pgd": {"eps": 0.1}, "deepfool": {}}
+    members, cells = ("mlp", "cnn"), []
+    base = {m: N.fitted(m, train, "row_id", "x", "y", max_rows=SAMPLE) for m in members}
+    for m in members:
+        cells.append(N.perturbed_rows(train.where("y = 1"), base[m], attacks, "row_id", "x", "y").withColumn("model", F.lit(m)))
+    pool = folds.select_pool(materialize(cells[0].unionByName(cells[1]), "pool"), "mlp", ["DeepFool"])
+    pool = pool.select(F.xxhash64("row_id", "attack", "model").alias("id"), F.col("x_adv").alias("x"), "attack", "model")
+    made = materialize(folds.augmented(train.select(F.col("row_id").alias("id"), "x", "y"), pool, 0.2, "id"), "augmented")
+    again = {m: N.fitted(m, made, "id", "x", "y", max_rows=SAMPLE) for m in members}
+    moved = N.perturbed_rows(test.where("y = 1"), base["mlp"], attacks, "row_id", "x", "y")
+    sets = test.select(F.lit("clean").alias("rows"), "y", "x").unionByName(moved.select(F.col("attack").alias("rows"), F.lit(1).alias("y"), F.col("x_adv").alias("x")))
+    judged = sets.select("rows", "y", *((N.on_rows(F.col("x"), n.margin) >= 0).cast("int").alias(f"{w}_{m}") for w, ns in (("clean", base), ("again", again)) for m, n in ns.items()))
+    judged = judged.withColumn("again_or", or_ensemble([F.col(f"again_{m}") for m in members]))
+    flags = ("clean_mlp", "clean_cnn", "again_mlp", "again_cnn", "again_or")
+    per = judged.select("rows", "y", F.inline(F.array(*(F.struct(F.lit(f).alias("network"), F.col(f).alias("pred")) for f in flags))))
+    return rounded(binary_metrics(per, F.col("y"), F.col("pred"), ["rows", "network"]).select("rows", "network", "n_rows", "recall", "fpr"))
+
+
 def linf_by_cell(spark: SparkSession, d: str) -> DataFrame:
     rows = _records(spark, d).where("origin = 'adv'")
     return rounded(rows.groupBy("attack", "model").agg(F.max("linf").alias("max_linf"), F.avg("linf").alias("mean_linf"), F.count("linf").alias("n_known")))
@@ -124,7 +173,7 @@ def linf_by_cell(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     train_test_overlap, stump_probe, correlated_pairs, correlated_feature_pairs, correlated_components, permutation_importance, discriminator_dataset, pool_antijoin, grouped_split,
-    leave_one_out_fold, catch_by_family, worst_holdout, attack_success, augment_pool, linf_by_cell,
+    leave_one_out_fold, catch_by_family, worst_holdout, attack_success, augment_pool, discriminator_fit, ensemble_retrain, linf_by_cell,
 )}
 
 _F32 = ", ".join(f"{c}::FLOAT AS f{i}" for i, c in enumerate(FEATURES))
@@ -152,6 +201,10 @@ SQL = {
         f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS r FROM t" for a, b in _PAIRS) + ") SELECT column_a, column_b, round(r, 6) AS r FROM p WHERE abs(r) > 0.3",
     "correlated_feature_pairs": f"WITH {FLOWS_SQL}, t AS (SELECT * FROM flows WHERE split_name = 'train'), p AS (" + " UNION ALL ".join(
         f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS r FROM t" for a, b in _FEATURE_PAIRS) + ") SELECT column_a, column_b, round(r, 6) AS r FROM p WHERE abs(r) > 0.3",
+    "correlated_components": f"WITH RECURSIVE {FLOWS_SQL}, t AS (SELECT * FROM flows WHERE split_name = 'train'), p AS (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM t" for a, b in _FEATURE_PAIRS) + f"""), links AS (SELECT a, b FROM p WHERE abs(r) > 0.5 UNION SELECT b, a FROM p WHERE abs(r) > 0.5),
+        reach AS (SELECT unnest({FEATURES}) AS c, unnest({FEATURES}) AS seen UNION SELECT r.c, l.b FROM reach r JOIN links l ON r.seen = l.a)
+        SELECT min(seen) AS root, c AS column_name FROM reach GROUP BY c""",
     "discriminator_dataset": f"""WITH {FLOWS_SQL}, s AS (SELECT row_id FROM flows WHERE split_name = 'test' AND y = 1),
         pool AS (SELECT row_id, y FROM flows WHERE split_name IN ('test', 'train') AND row_id NOT IN (SELECT row_id FROM s)),
         k AS (SELECT greatest(0, 4 * count(*) - count(DISTINCT row_id)) AS extra FROM s),

@@ -9,13 +9,12 @@ from tidegate.operators import metrics as M, networks as N, perturb as P, report
 from tidegate.operators.relate import best_stumps
 from tidegate.operators.rules import Validator
 from tidegate.operators.sample import ranked
-from tidegate.plans.base import CHECKED_SQL, FLOWS_SQL, PARAMS_SQL, SCALED_SQL, SCORE_SQL, flows, logit_sql, member, mined, prob_sql, rounded, scaling, scored
+from tidegate.plans.base import CHECKED_SQL, FLOWS_SQL, PARAMS_SQL, SCALED_SQL, SCORE_SQL, flows, logit_sql, member, mined, prob_sql, SAMPLE, rounded, scaling, scored, vectors
 from tidegate.plans.pools import STUMP_SQL
 from tidegate.schema import FEATURES
-from tidegate.sources.tables import read_table
+from tidegate.sources.tables import bounded, read_table
 from tidegate.streaming.gate import run_gate
 
-SAMPLE = 20_000  # labelled rows that a model is fitted on
 GROUPS = ["all", "ddos", "dos", "mirai", "recon", "spoofing", "web", "bruteforce", "pop10pkt", "pop100pkt"]
 
 
@@ -125,14 +124,6 @@ def tree_probe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.binary_metrics(S.fit_tree(train, columns, "y").transform(rows.where("split_name = 'test'")), F.col("y"), F.col("prediction")))
 
 
-def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Scaled vectors ``x`` of training and of test rows."""
-    rows = flows(spark, d)
-    s = scaling(rows.where("split_name = 'train'"))
-    made = rows.select("row_id", "split_name", "category", "y", s.vector().alias("x"))
-    return made.where("split_name = 'train'"), made.where("split_name = 'test'")
-
-
 def _trained(spark: SparkSession, d: str, kind: str) -> DataFrame:
     train, test = vectors(spark, d)
     network = N.fitted(kind, train, "row_id", "x", "y", max_rows=SAMPLE)
@@ -166,7 +157,7 @@ def stream_gate(spark: SparkSession, d: str) -> DataFrame:
     def gate(stream: DataFrame) -> DataFrame:
         from tidegate.functions.numeric import all_finite
 
-        known = stream.where(all_finite(FEATURES)).join(F.broadcast(labels), stream["codes"].cast("int") == labels["code"])
+        known = stream.where(all_finite(FEATURES)).join(bounded(labels, 1_000_000), stream["codes"].cast("int") == labels["code"])
         return v.check(known).select("row_id", "category", "reject")
 
     judged = run_gate(spark, f"{d}/flow_scan.parquet", gate)

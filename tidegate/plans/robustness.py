@@ -12,8 +12,7 @@ from tidegate.operators.metrics import perturbation_summary
 from tidegate.operators.report import population
 from tidegate.operators.scaling import Scaling
 from tidegate.operators.search import ArrayValidator, Searcher, search
-from tidegate.plans.base import FLOWS_SQL, PARAMS_SQL, SCALED_SQL, LOG1P, every, flows, logit_sql, member, mined, rounded, scaling
-from tidegate.plans.reports import SAMPLE, vectors
+from tidegate.plans.base import FLOWS_SQL, PARAMS_SQL, SCALED_SQL, LOG1P, SAMPLE, every, flows, logit_sql, member, mined, rounded, scaling, vectors
 from tidegate.schema import FEATURES
 from tidegate.scratch import materialize
 
@@ -201,12 +200,21 @@ def lever_usage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.groupBy("category").agg(*(F.avg((F.col(f"t_{t}") == v).cast("double")).alias(t) for t, v in THETA.items())))
 
 
+FLOORS = (0.0, 0.25, 0.5, 0.75)
+
+
 def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Mean rate kept for several functional floors under a declared slow-down of 70 %."""
-    rows = flows(spark, d).where("split_name = 'test' and y = 1")
-    cells = F.array(*(F.struct(F.lit(f).alias("floor"), (F.greatest(F.lit(0.3), F.lit(f))).alias("kept")) for f in (0.0, 0.25, 0.5, 0.75)))
-    long = rows.select("category", "rate", F.inline(cells))
-    return rounded(long.groupBy("floor", "category").agg(F.avg("kept").alias("share_kept"), F.sum((F.col("rate") * F.col("kept") >= 10.0).cast("long")).alias("n_fast")))
+    """Rate kept of attack rows for several functional floors: each row slowed down by 70 %, or as far as its box at
+    that floor allows, and projected."""
+    rows, p, g, _, _, _ = _levers(spark, d, "C")
+    o, cells = _original(), []
+    for f in FLOORS:
+        low, high = g.bounds(o, F.lit(f), Z.COLUMNS)
+        theta = dict.fromkeys(Z.THETA, F.lit(0.0)) | {"slow": F.least(F.greatest(F.lit(0.7), low["slow"]), high["slow"])}
+        cells.append(F.struct(F.lit(f).alias("floor"), g.apply(o, theta, F.lit(f), Z.COLUMNS)["rate"].alias("after")))
+    long = rows.where("y = 1").select("category", "rate", F.inline(F.array(*cells)))
+    kept = F.when(F.col("rate") > 0, F.col("after") / F.col("rate")).otherwise(1.0)
+    return rounded(long.groupBy("floor", "category").agg(F.avg(kept).alias("share_kept"), F.count_if(F.col("after") >= 10.0).alias("n_fast")))
 
 
 # -- searches: on the reference's selection of rows, with its settings -------------------------------------------
@@ -409,6 +417,8 @@ SQL = {
         round(avg(r_duration - o_duration), 4) AS ttl_change, round(avg(100 * (1 - {_R('r_rate', 'o_rate')})), 4) AS rate_loss_pct, round(avg({_R('r_flow_duration', 'o_flow_duration')}), 4) AS lifetime_factor FROM p5 GROUP BY category""",
     "floor_ok": f"WITH {_LEVER} SELECT category, count(*) AS n_rows, count(*) FILTER (WHERE r_rate >= floor * o_rate * (1 - 1e-6) - 1e-9) AS n_ok FROM p5 GROUP BY category",
     "lever_usage": f"WITH {_LEVER} SELECT category, " + ", ".join(f"round(avg((t_{t} = ({v})::DOUBLE)::INT), 6) AS {t}" for t, v in THETA.items()) + " FROM b GROUP BY category",
-    "floor_sweep": f"""WITH {FLOWS_SQL}, g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75])::DOUBLE AS floor) SELECT floor, category, round(avg(greatest(0.3::DOUBLE, floor)), 6) AS share_kept,
-        count(*) FILTER (WHERE rate * greatest(0.3::DOUBLE, floor) >= 10) AS n_fast FROM flows, g WHERE split_name = 'test' AND y = 1 GROUP BY ALL""",
+    "floor_sweep": f"""WITH {FLOWS_SQL}, {PARAMS_SQL}, g AS (SELECT unnest({list(FLOORS)})::DOUBLE AS floor),
+        m AS (SELECT floor, category, rate, greatest(least(rate * (1 - least(0.7::DOUBLE, greatest(1 - greatest(floor, 0.05::DOUBLE), 0))), rate), floor * rate) AS moved, params.* FROM flows, params, g WHERE split_name = 'test' AND y = 1),
+        k AS (SELECT *, {_fit('rate', 'moved')} AS after FROM m)
+        SELECT floor, category, round(avg(CASE WHEN rate > 0 THEN after / rate ELSE 1 END), 6) AS share_kept, count(*) FILTER (WHERE after >= 10) AS n_fast FROM k GROUP BY ALL""",
 }

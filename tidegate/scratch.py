@@ -39,6 +39,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remember(spark: SparkSession, path: str) -> None:
+    """Delete what lies at ``path`` when the interpreter ends."""
+    _written.append((spark, path))
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a ``materialize`` result that nothing reads any more."""
     for spark, path in list(_written):

@@ -67,6 +67,12 @@ def source_size(spark: SparkSession, path: str) -> dict:
     return {"name": p.getName(), "bytes": fs.getContentSummary(p).getLength()}
 
 
+def source_state(spark: SparkSession, path: str) -> dict:
+    """What changes when a file or folder is written anew: its size and time."""
+    fs, p = _fs(spark, path)
+    return {"bytes": fs.getContentSummary(p).getLength(), "time": fs.getFileStatus(p).getModificationTime()}
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file next to a table, on whatever file system the table is."""
     fs, p = _fs(spark, path)

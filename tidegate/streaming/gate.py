@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegate.scratch import shared_folder
 
 
-def run_gate(spark: SparkSession, source: str, gate: Callable[[DataFrame], DataFrame], files_per_trigger: int = 64) -> DataFrame:
+def run_gate(spark: SparkSession, source: str, gate: Callable[[DataFrame], DataFrame], files_per_trigger: int = 64, out: str | None = None) -> DataFrame:
     """Stream the Parquet files at ``source`` through ``gate`` into Parquet files and return a reader of them.
 
-    Runs until all files present at the start are done (availableNow). Offsets and output lie in the shared folder,
-    so a lost executor or a restarted query repeats at most one micro-batch and the file sink keeps rows exactly once.
+    Runs until all files present at the start are done (availableNow). Offsets and rows lie below ``out``: a call with
+    the same folder goes on where the last one ended, repeats at most one micro-batch, and the file sink keeps rows
+    exactly once. Without ``out`` a new folder below the shared one is used, and every call starts anew.
     """
     schema = spark.read.parquet(source).schema
-    out = f"{shared_folder(spark)}/tidegate-gate-{uuid.uuid4().hex}"
+    out = out or f"{shared_folder(spark)}/tidegate-gate-{uuid.uuid4().hex}"
     folder, _, name = source.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     # A single file is streamed from its folder by name; a table folder as it is.
