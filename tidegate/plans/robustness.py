@@ -14,7 +14,6 @@ from tidegate.operators.scaling import Scaling
 from tidegate.operators.search import ArrayValidator, Searcher, search
 from tidegate.plans.base import FLOWS_SQL, PARAMS_SQL, SCALED_SQL, LOG1P, SAMPLE, every, flows, logit_sql, member, mined, rounded, scaling, vectors
 from tidegate.schema import FEATURES
-from tidegate.scratch import materialize
 
 WIDTH = len(FEATURES)
 GRID = [0.01, 0.02, 0.05, 0.1, 0.2]
@@ -87,7 +86,7 @@ def network_cells(spark: SparkSession, d: str) -> DataFrame:
     """The same 4 x 3 cells against networks trained on a bounded sample, with gradients through each of them."""
     train, _ = vectors(spark, d)
     networks = {m: N.fitted(m, train, "row_id", "x", "y", max_rows=SAMPLE) for m in ("mlp", "cnn", "lstm")}
-    rows = _vectors(spark, d).repartition(24, "row_id")  # a row costs far more than its size
+    rows = _vectors(spark, d).repartition(spark.sparkContext.defaultParallelism, "row_id")  # a row costs far more than its size
     return rounded(perturbation_summary(N.perturbation_cells(rows, networks, ATTACKS, "row_id", "x", "y")))
 
 
@@ -234,7 +233,7 @@ def _chosen(rows: DataFrame, p: Z.Projector, s: Scaling, split: str, per_categor
     far more than its row."""
     at = rows.where(F.col("split_name") == split).select("row_id", "category", "y", s.vector().alias("x"), p.spec.rate_floor(F.col("category")).alias("floor"))
     eligible = every([F.col("y") == 1, *(member(m).detects(F.col("x")) for m in ATTACKED)])
-    return sample.per_category(at, "category", "row_id", per_category, eligible, "Benign").repartition(24, "row_id")
+    return sample.per_category(at, "category", "row_id", per_category, eligible, "Benign").repartition(rows.sparkSession.sparkContext.defaultParallelism, "row_id")
 
 
 def _search(spark: SparkSession, d: str, kind: str, **settings: object) -> DataFrame:
@@ -269,7 +268,7 @@ def search_tuning(spark: SparkSession, d: str) -> DataFrame:
     rules, s = mined(rows), scaling(rows.where("split_name = 'train'"))
     p = Z.Projector(Z.RealismSpec.from_dict(REALISM, "A"), s)
     models, check = [member(m) for m in ATTACKED], ArrayValidator(rules)
-    chosen = materialize(_chosen(rows, p, s, "val", GRID_ROWS), "tuning").repartition(24, "row_id")
+    chosen = _chosen(rows, p, s, "val", GRID_ROWS)
     judge = Searcher(p, models, check)
 
     def run(batches):
@@ -299,7 +298,7 @@ def network_search(spark: SparkSession, d: str) -> DataFrame:
     p = Z.Projector(Z.RealismSpec.from_dict(REALISM, "C"), s)
     at = rows.where("split_name = 'test'").select("row_id", "category", "y", s.vector().alias("x"), p.spec.rate_floor(F.col("category")).alias("floor"))
     judged = N.scored(at, "x", network)
-    chosen = sample.per_category(judged, "category", "row_id", PER_CATEGORY, (F.col("y") == 1) & (F.col("prob") >= 0.5), "Benign").repartition(24, "row_id")
+    chosen = sample.per_category(judged, "category", "row_id", PER_CATEGORY, (F.col("y") == 1) & (F.col("prob") >= 0.5), "Benign").repartition(rows.sparkSession.sparkContext.defaultParallelism, "row_id")
     found = search(chosen, Searcher(p, [network], ArrayValidator(rules)), "feature", "row_id", "x", "floor", ["category"], steps=100, step=0.01, restarts=10)
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("won").alias("n_won"))
 
