@@ -173,7 +173,7 @@ def linf_by_cell(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     train_test_overlap, stump_probe, correlated_pairs, correlated_feature_pairs, correlated_components, permutation_importance, discriminator_dataset, pool_antijoin, grouped_split,
-    leave_one_out_fold, catch_by_family, worst_holdout, attack_success, augment_pool, discriminator_fit, ensemble_retrain, linf_by_cell,
+    leave_one_out_fold, catch_by_family, worst_holdout, attack_success, augment_pool, ensemble_retrain, linf_by_cell,
 )}
 
 _F32 = ", ".join(f"{c}::FLOAT AS f{i}" for i, c in enumerate(FEATURES))

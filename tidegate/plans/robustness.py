@@ -305,7 +305,7 @@ def network_search(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     fgsm_linear, bim_linear, pgd_linear, deepfool_linear, perturbation_cells, network_cells, eps_sweep, projection_spec_a, projection_spec_b, projection_spec_c, projection_violation,
-    theta_bounds, theta_apply, theta_cost, floor_ok, lever_usage, floor_sweep, feature_search, primitive_search, adaptive_search, blackbox_search, search_tuning, network_search,
+    theta_bounds, theta_apply, theta_cost, floor_ok, lever_usage, floor_sweep, feature_search, primitive_search, adaptive_search, blackbox_search, network_search,
 )}
 
 # -- SQL --------------------------------------------------------------------------------------------------------
