@@ -1,5 +1,7 @@
 """Networks: gradients against numeric ones, training, stored weights, perturbation bounds."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +97,59 @@ def test_deepfool_leaves_rows_on_the_other_side_and_unknown_names_raise():
         N.Network.build("nope", 3)
 
 
+@pytest.mark.parametrize("kind", SMALL)
+def test_rows_are_not_asked_again_for_what_is_known(kind):
+    """The attacks written out as loops over all rows; the cells ask the network less often."""
+    net, rng = N.Network.build(kind, 7, SMALL[kind](), seed=5), np.random.default_rng(2)
+    x, ids = rng.random((90, 7)), list(range(90))
+    y = (rng.random(90) < 0.7).astype(int)
+    sign = np.where(y == 1, -1.0, 1.0)[:, None]
+    n_asked = [0, 0]
+
+    def slope(at):
+        n_asked[0] += len(at)
+        return net.slope(at)
+
+    def toward(now, size):
+        return np.clip(np.clip(now + size * np.sign(slope(now)) * sign, x - 0.1, x + 0.1), 0, 1)
+
+    expected = {"fgsm": toward(x, 0.1), "bim": x, "pgd": np.clip(x + 0.1 * N.start_of(ids, 7, 0), 0, 1), "deepfool": x.copy()}
+    for _ in range(10):
+        expected["bim"], expected["pgd"] = toward(expected["bim"], 0.02), toward(expected["pgd"], 0.02)
+        margin, g = net.margin(expected["deepfool"]), slope(expected["deepfool"])
+        n_asked[0] += len(x)
+        on = (margin >= 0) == (y == 1)
+        moved = np.clip(expected["deepfool"] - 1.02 * (margin / np.maximum((g * g).sum(axis=1), 1e-12))[:, None] * g, 0, 1)
+        expected["deepfool"] = np.where(on[:, None], moved, expected["deepfool"])
+
+    class Counted(N.Network):
+        def run(self, at, masks=None):
+            n_asked[1] += len(at)
+            return N.Network.run(self, at, masks)
+
+    counted = Counted(net.kind, 7, net.weights, layers=net.layers, shapes=net.shapes)
+    for _, attack, clean, adv in N._each({"m": counted}, {"fgsm": {}, "bim": {}, "pgd": {}, "deepfool": {}}, x, y, ids):
+        assert np.allclose(clean, net.margin(x), rtol=0, atol=1e-12) and np.allclose(adv, expected[attack], rtol=0, atol=1e-9)
+    assert n_asked[1] < 0.75 * n_asked[0]
+
+
+def test_the_gradients_of_blocks_add_up():
+    """Masks are drawn for all rows at once, and threads do not change the sums."""
+    net, rng = N.Network.build("mlp", 5, seed=2), np.random.default_rng(3)
+    x, y, w = rng.random((700, 5)), rng.integers(0, 2, 700), rng.random(700)
+    masks = net.masks(700, np.random.default_rng(9))
+    z, caches = net.run(x, masks)
+    q = N.softmax(z)
+    q[np.arange(700), y] -= 1
+    whole = net.pull(caches, q * (w / w.sum())[:, None])[1]
+    with ThreadPoolExecutor(3) as pool:
+        results = [N.loss_and_gradients(net, x, y, w, np.random.default_rng(9), each) for each in (map, pool.map)]
+    for i, p in enumerate(net.weights):
+        for k in p:
+            assert np.allclose(results[0][1][i][k], whole[i][k], rtol=0, atol=1e-12) and (results[0][1][i][k] == results[1][1][i][k]).all()
+    assert results[0][0] == results[1][0]
+
+
 def test_cells_in_one_pass(spark):
     net = N.Network.build("mlp", 3, [N.Dense(4), N.Relu(), N.Dense(2)], seed=1)
     df = spark.createDataFrame([(i, [i / 50, 0.5, 1 - i / 50], i % 2, "c") for i in range(50)] + [(50, None, 1, "c"), (51, [0.1, 0.2, 0.3], None, "c")], "id long, x array<double>, y int, attack string")

@@ -85,7 +85,7 @@ def perturbation_cells(spark: SparkSession, d: str) -> DataFrame:
 def network_cells(spark: SparkSession, d: str) -> DataFrame:
     """The same 4 x 3 cells against networks trained on a bounded sample, with gradients through each of them."""
     train, _ = vectors(spark, d)
-    networks = {m: N.fitted(m, train, "row_id", "x", "y", max_rows=SAMPLE) for m in ("mlp", "cnn", "lstm")}
+    networks = N.fitted_each(("mlp", "cnn", "lstm"), train, "row_id", "x", "y", max_rows=SAMPLE)
     rows = _vectors(spark, d).repartition(spark.sparkContext.defaultParallelism, "row_id")  # a row costs far more than its size
     return rounded(perturbation_summary(N.perturbation_cells(rows, networks, ATTACKS, "row_id", "x", "y")))
 
