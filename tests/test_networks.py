@@ -1,6 +1,7 @@
 """Networks: gradients against numeric ones, training, stored weights, perturbation bounds."""
 
 from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import numpy as np
 import pytest
@@ -69,6 +70,76 @@ def test_the_sample_is_bounded_whatever_repeats(spark):
         N.training_sample(rows.limit(0), "id", "x", "y", 10)
 
 
+def test_every_row_is_trained_on(spark, monkeypatch):
+    """More rows than the samples hold, ids that repeat, rows without a vector or label: all others reach the networks."""
+    seen, train = spark.sparkContext.accumulator(0), N.train
+
+    def counted(network, x, y, *args, **settings):
+        seen.add(len(x) + 100_000 * int(y.sum()))
+        return train(network, x, y, *args, epochs=1, **settings)
+
+    monkeypatch.setattr(N, "train", counted)
+    rows = spark.range(25_003).select(F.least("id", F.lit(20_000)).alias("id"), F.array(F.col("id") / 25_003, F.lit(0.5)).alias("x"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    rows = rows.withColumn("x", F.when(F.col("id") != 7, F.col("x"))).withColumn("y", F.when(F.col("id") != 8, F.col("y")))
+    assert list(N.fitted_each(("mlp",), rows, "id", "x", "y")) == ["mlp"] and seen.value == 25_001 + 100_000 * 5_001
+    with pytest.raises(ValueError, match="no labelled row"):
+        N.fitted_each(("mlp",), rows.limit(0), "id", "x", "y")
+    with pytest.raises(Exception, match="different lengths"):
+        N.fitted_each(("mlp",), rows.withColumn("x", F.slice("x", 1, 1 + F.col("id").cast("int") % 2)), "id", "x", "y")
+
+
+def test_tasks_train_together(spark):
+    """One task trains as the driver does; three find the same weights each time, whatever the input's partitions."""
+    rng = np.random.default_rng(0)
+    x = rng.random((900, 6))
+    y = (x @ np.array([3, -2, 1, 0, 0, 1.0]) > 1.2).astype(int)
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))], "id long, x array<double>, y int").repartition(5)
+    settings = {"epochs": 25, "batch": 64, "rate": 0.004, "patience": 20, "plateau": 10}
+    here, one = N.trained_each(("mlp",), x, y, np.ones(900), **settings)["mlp"], N.trained_on_all(("mlp",), df, "id", "x", "y", 1, **settings)["mlp"]
+    assert np.allclose(one.margin(x), here.margin(x), rtol=0, atol=1e-6)
+    three = [N.trained_on_all(("mlp", "cnn"), rows, "id", "x", "y", 3, **settings) for rows in (df, df.coalesce(2))]
+    for kind in ("mlp", "cnn"):
+        assert all((p[k] == q[k]).all() for p, q in zip(three[0][kind].weights, three[1][kind].weights) for k in p)
+    assert ((three[0]["mlp"].margin(x) >= 0) == (y == 1)).mean() > 0.9
+    assert N.tasks_for(spark, 500) == 1 and N.tasks_for(spark, 29_999) == min(2, spark.sparkContext._jsc.sc().maxNumConcurrentTasks(spark.sparkContext._jsc.sc().resourceProfileManager().defaultResourceProfile()))
+
+
+def test_a_step_of_a_team_is_that_of_its_rows_together():
+    """Uneven shares, one of them empty: the step goes along the gradient over all rows that are not held out."""
+    meet, sent = Barrier(3), {}
+
+    class Together:
+        size = 3
+
+        def __init__(self, member):
+            self.member = member
+
+        def total(self, own):
+            sent[self.member] = own
+            meet.wait()
+            out = sent[0] + sent[1] + sent[2]
+            meet.wait()
+            return out
+
+    rng = np.random.default_rng(5)
+    x, y = rng.random((60, 4)), rng.integers(0, 2, 60)
+    shares = [slice(0, 41), slice(41, 60), slice(60, 60)]
+    nets = [N.Network.build("mlp", 4, [N.Dense(5), N.Relu(), N.Dense(2)], seed=1) for _ in range(4)]
+    with ThreadPoolExecutor(3) as pool:
+        jobs = [pool.submit(N.train, nets[i], x[at], y[at], epochs=1, batch=100, rate=0.1, team=Together(i)) for i, at in enumerate(shares)]
+        losses = [job.result()[0] for job in jobs]
+    used, held = [], []
+    for i, (at, n) in enumerate(zip(shares, (41, 19, 0))):
+        order = np.arange(60)[at][np.random.default_rng([0, i]).permutation(n)]
+        held, used = [*held, *order[: n // 10]], [*used, *order[n // 10 :]]
+    _, grads = N.loss_and_gradients(nets[3], x[used], y[used], np.ones(len(used)))
+    for i in range(3):
+        for p, q, g in zip(nets[i].weights, nets[3].weights, grads):
+            for k in p:
+                assert np.allclose(p[k], N._adam(q[k], g[k], {k: (0, 0)}, k, 1, 0.1), rtol=0, atol=1e-6)
+    assert losses == [pytest.approx(N.loss_of(nets[0], x[held], y[held], np.ones(len(held))))] * 3
+
+
 @pytest.mark.parametrize("kind", SMALL)
 @pytest.mark.parametrize("attack,settings", [("fgsm", {"eps": 0.07}), ("bim", {"eps": 0.07, "steps": 5}), ("pgd", {"eps": 0.07, "steps": 5, "restarts": 2}), ("deepfool", {"steps": 8})])
 def test_bounds_and_effect(kind, attack, settings):

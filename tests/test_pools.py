@@ -52,3 +52,13 @@ def test_only_rows_that_are_trained_on_are_perturbed(spark):
     whole = folds.augmented(train.select(F.col("row_id").alias("id"), "x", "y"), pool, 0.2, "id")
     expected = {r.id: r for r in N.drawn(whole, "id", "x", "y", 90).collect()}
     assert got.keys() == expected.keys() and all(got[i].y == r.y and np.allclose(got[i].x, r.x, rtol=0, atol=1e-12) for i, r in expected.items())
+
+
+def test_all_rows_are_trained_on_again(spark):
+    """More training rows than the samples hold: each comes once, and a fifth of them perturbed."""
+    x = F.array(F.col("id") / 21_000, F.lit(0.5))
+    train = spark.range(21_000).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("y"), x.alias("x"))
+    base = {m: N.Network.build("mlp", 2, [N.Dense(4), N.Relu(), N.Dense(2)], seed=k) for k, m in enumerate(("mlp", "cnn"))}
+    got = pools.retraining_rows(train, base, {"fgsm": {"eps": 0.1}, "deepfool": {}}).cache()
+    clean = got.where("id BETWEEN 0 AND 20999")
+    assert got.count() == 25_200 and clean.select("id").distinct().count() == 21_000 == clean.where(x.eqNullSafe(F.col("x"))).count()
