@@ -101,7 +101,7 @@ def test_tasks_train_together(spark):
     for kind in ("mlp", "cnn"):
         assert all((p[k] == q[k]).all() for p, q in zip(three[0][kind].weights, three[1][kind].weights) for k in p)
     assert ((three[0]["mlp"].margin(x) >= 0) == (y == 1)).mean() > 0.9
-    assert N.tasks_for(spark, 500) == 1 and N.tasks_for(spark, 29_999) == min(2, spark.sparkContext._jsc.sc().maxNumConcurrentTasks(spark.sparkContext._jsc.sc().resourceProfileManager().defaultResourceProfile()))
+    assert N.tasks_for(spark, 500) == 1 and N.tasks_for(spark, 2_999) == min(2, spark.sparkContext._jsc.sc().maxNumConcurrentTasks(spark.sparkContext._jsc.sc().resourceProfileManager().defaultResourceProfile()))
 
 
 def test_a_step_of_a_team_is_that_of_its_rows_together():
